@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from needlebed.llm import bpe, embed_dedup, html_extract
 from needlebed.llm import exact_dedup as ed
 from needlebed.llm import sharding as sh
 from needlebed.llm.common import work_path
@@ -27,6 +28,25 @@ UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL
 """
 
 
+def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return html_extract.extract_text(_t(spark, d, "pages")).select("page_id", "url", "text")
+
+
+def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.bpe_encode(_t(spark, d, "documents").select("doc_id", "text"))
+
+
+def op10_embedding_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return embed_dedup.embedding_groups(_t(spark, d, "embeddings")).select("vec_id", "group_id", "keep")
+
+
+OP10 = f"""
+WITH RECURSIVE e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.embedding, b.embedding) >= {embed_dedup.THRESHOLD}),
+r AS (SELECT vec_id AS node, vec_id AS to_node FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON r.to_node = e.a)
+SELECT node AS vec_id, min(to_node) AS group_id, min(to_node) = node AS keep FROM r GROUP BY node
+"""
+
+
 def op9_sharding(spark: SparkSession, d: str) -> DataFrame:
     docs, path = _t(spark, d, "documents"), work_path(spark, "slot-map")
     load = sh.slot_bytes(docs)
@@ -50,7 +70,15 @@ SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard, moved FROM d JOIN p USING
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op5_html_extraction": op5_html_extraction,
+    "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
-ORACLES: dict[str, str] = {"op2_exact_dedup": OP2, "op9_sharding": OP9}
+ORACLES: dict[str, str] = {
+    "op2_exact_dedup": OP2,
+    "op5_html_extraction": html_extract.oracle(),
+    "op9_sharding": OP9,
+    "op10_embedding_near_dedup": OP10,
+}
