@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlebed.llm import bpe, embed_dedup, html_extract
+from needlebed.llm import bpe, embed_dedup, html_extract, mixing, quality, warc
 from needlebed.llm import exact_dedup as ed
 from needlebed.llm import sharding as sh
 from needlebed.llm.common import work_path
@@ -17,6 +17,14 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Parts of the mix by source; sources that aren't named have 1.
+MIX = {"src0": 4.0, "src1": 1.5, "src2": 0.5}
+
+
+def op1_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_sources(_t(spark, d, "documents"), MIX, tokens_out="n_tokens").select("doc_id", "source", "n_tokens")
+
+
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
     kept = ed.exact_dedup(_t(spark, d, "documents"))
     return kept.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
@@ -28,10 +36,25 @@ UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL
 """
 
 
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    path = work_path(spark, "warc")
+    index = warc.normalise(warc.write_monolithic(_t(spark, d, "pages"), path + "/whole"), path + "/members")
+    got = warc.read_records(index)
+    return got.select(F.regexp_extract("record_id", r"(-?\d+)$", 1).cast("bigint").alias("page_id"), F.col("target_uri").alias("url"), F.octet_length("block").cast("bigint").alias("n_bytes"), F.sha2("block", 256).alias("sha256"))
+
+
+OP4 = "SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS n_bytes, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL"
+
+
 def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract_text(_t(spark, d, "pages")).select("page_id", "url", "text")
 
 
+def op7_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    kept = quality.quality_filter(_t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "labels"), out_col="quality_score")
+    return kept.select("doc_id", "quality_score")
+
+
 def op8_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.bpe_encode(_t(spark, d, "documents").select("doc_id", "text"))
 
@@ -69,8 +92,11 @@ SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard, moved FROM d JOIN p USING
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_warc": op4_warc,
     "op5_html_extraction": op5_html_extraction,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
     "op10_embedding_near_dedup": op10_embedding_near_dedup,
@@ -78,6 +104,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": OP2,
+    "op4_warc": OP4,
     "op5_html_extraction": html_extract.oracle(),
     "op9_sharding": OP9,
     "op10_embedding_near_dedup": OP10,
