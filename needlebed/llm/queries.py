@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlebed.llm import bpe, embed_dedup, html_extract, mixing, quality, warc
+from needlebed.llm import bpe, embed_dedup, html_extract, minhash, mixing, quality, warc
 from needlebed.llm import exact_dedup as ed
 from needlebed.llm import sharding as sh
 from needlebed.llm.common import work_path
@@ -36,6 +36,10 @@ UNION ALL SELECT doc_id, NULL FROM documents WHERE text IS NULL
 """
 
 
+def op3_minhash_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return minhash.near_dedup(_t(spark, d, "documents").select("doc_id", "text")).select("doc_id")
+
+
 def op4_warc(spark: SparkSession, d: str) -> DataFrame:
     path = work_path(spark, "warc")
     index = warc.normalise(warc.write_monolithic(_t(spark, d, "pages"), path + "/whole"), path + "/members")
@@ -94,6 +98,7 @@ SELECT doc_id, slot, CAST(shard AS INTEGER) AS shard, moved FROM d JOIN p USING
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc": op4_warc,
     "op5_html_extraction": op5_html_extraction,
     "op7_quality_classifier": op7_quality_classifier,
