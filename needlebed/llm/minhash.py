@@ -23,48 +23,28 @@ from pyspark.sql import types as T
 
 from needlebed.llm.common import cut, fresh, id_key, need, small_enough
 from needlebed.llm.graph import connected_components
+from needlebed.llm.words import mix, stretches, word_hashes
 
 WORDS, K, THRESHOLD = 3, 64, 0.5
 #: Standard errors that the filter of the estimate leaves below the threshold.
 SLACK = 3.0
 BATCH_CHARS = 1 << 20
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
-_BYTE = np.random.default_rng(3).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BYTE[_BLANK] = 0
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     """The sorted, distinct 64-bit hashes of each text's runs of ``n`` lower-case words between blanks. A text with
     fewer words has one, of all its words; a text without words has none."""
-    raw = [t.lower().encode(errors="replace") for t in texts]
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
-    blank = _BLANK[data]
-    at = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
-    if not len(at):
+    word, of_doc = word_hashes(texts)
+    if not len(word):
         return [np.empty(0, np.int64)] * len(texts)
-    span = np.diff(np.r_[at, len(data)])
-    power = np.cumprod(np.full(int(span.max()), _STEP, np.uint64))
-    place = np.arange(at[0], len(data)) - np.repeat(at, span)
-    word = _mix(np.add.reduceat(_BYTE[data[at[0] :]] * power[place], at - at[0]))
-    of_doc = np.searchsorted(at, np.cumsum([0] + [len(r) + 1 for r in raw]))
     factor = np.cumprod(np.full(n, np.uint64(0xC2B2AE3D27D4EB4F), np.uint64))
     m = len(word) - n + 1
-    runs = _mix(reduce(np.add, (word[i : i + m] * factor[i] for i in range(n)))).view(np.int64) if m > 0 else None
+    runs = mix(reduce(np.add, (word[i : i + m] * factor[i] for i in range(n)))).view(np.int64) if m > 0 else None
     out = []
     for a, b in zip(of_doc, of_doc[1:]):
         if b - a >= n:
             out.append(np.unique(runs[a : b - n + 1]))
         elif b > a:
-            out.append(_mix((word[a:b] * factor[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)).view(np.int64))
+            out.append(mix((word[a:b] * factor[: b - a]).sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)).view(np.int64))
         else:
             out.append(np.empty(0, np.int64))
     return out
@@ -74,25 +54,13 @@ def set_id(s: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _texts(batch, col: int):
-    """(first row, texts) of stretches of a batch that hold about BATCH_CHARS characters; nulls are empty texts."""
-    column, start = batch.column(col), 0
-    while start < len(column):
-        part, chars = [], 0
-        while start + len(part) < len(column) and chars < BATCH_CHARS:
-            part.append(column[start + len(part)].as_py() or "")
-            chars += len(part[-1])
-        yield start, part
-        start += len(part)
-
-
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, k: int) -> DataFrame:
     """(id, th, eid, sketch): the document's id and a hash of its text, the id of its set, its sketch; rows without words left out."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         for batch in batches:
-            for start, texts in _texts(batch, 2):
+            for start, texts in stretches(batch.column(2), BATCH_CHARS):
                 sets = shingle_sets(texts, n)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 if full:
@@ -167,7 +135,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # The whole sets of the documents that stand for a set in the lists.
     def whole(batches):
         for batch in batches:
-            for _, texts in _texts(batch, 0):
+            for _, texts in stretches(batch.column(0), BATCH_CHARS):
                 sets = shingle_sets(texts, n)
                 off = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["eid", "v"])

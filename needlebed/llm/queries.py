@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from needlebed.llm import bpe, embed_dedup, html_extract, minhash, mixing, quality, warc
+from needlebed.llm import bpe, embed_dedup, html_extract, lm, minhash, mixing, quality, warc
 from needlebed.llm import exact_dedup as ed
 from needlebed.llm import sharding as sh
 from needlebed.llm.common import work_path
@@ -54,6 +54,11 @@ def op5_html_extraction(spark: SparkSession, d: str) -> DataFrame:
     return html_extract.extract_text(_t(spark, d, "pages")).select("page_id", "url", "text")
 
 
+def op6_lm_scoring(spark: SparkSession, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").select("doc_id", "text")
+    return lm.score_lm(docs, lm.train_lm(docs))
+
+
 def op7_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
     kept = quality.quality_filter(_t(spark, d, "documents").select("doc_id", "text"), _t(spark, d, "labels"), out_col="quality_score")
     return kept.select("doc_id", "quality_score")
@@ -101,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op4_warc": op4_warc,
     "op5_html_extraction": op5_html_extraction,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_quality_classifier": op7_quality_classifier,
     "op8_bpe": op8_bpe,
     "op9_sharding": op9_sharding,
