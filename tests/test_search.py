@@ -1,0 +1,335 @@
+"""The search engine on small cases, and the law that no accelerator changes an answer."""
+
+import os
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from needlebed.errors import EmptyCorpusError, IndexFormatError
+from needlebed.functions import bytesfn as bf
+from needlebed.functions import sizes
+from needlebed.operators import bwt, grams, search, segments
+from needlebed.plans.index import BuildOptions, Reloadable, build, build_from, open_index
+from needlebed.plans.manifest import Versions, corpus_sha256, read_manifest
+from needlebed.sources.tables import collect_files, from_table, lines_of, list_files, read_batch, read_files, split_lines
+from needlebed.streaming.search import answer_stream, answers, count_by_window
+
+
+def corpus(spark, bodies):
+    rows = [(i, f"f{i:03}", None if b is None else len(b), None if b is None else bytearray(b)) for i, b in enumerate(bodies)]
+    return spark.createDataFrame(rows, "file_ord bigint, path string, size bigint, content binary")
+
+
+def needles(spark, items):
+    return spark.createDataFrame([(i, None if n is None else bytearray(n)) for i, n in enumerate(items)], "line_no bigint, needle binary")
+
+
+def found(df, key="line_no"):
+    return [r["found"] for r in df.orderBy(key).collect()]
+
+
+def write(folder, **files):
+    os.makedirs(folder, exist_ok=True)
+    for name, body in files.items():
+        with open(os.path.join(folder, name), "wb") as f:
+            f.write(body)
+    return str(folder)
+
+
+BINARY = b"<?php\nbase64_encode(str_replace(\n\x00\xffEND"
+
+
+def test_binary_and_case(spark):
+    asked = [b"base64_encode(str_replace(", b"\x00\xffEND", b"<?php\nbase64", b"Base64_encode", b"missing", b"", None, b"\xff", BINARY, BINARY + b"x"]
+    want = [True, True, True, False, False, False, False, True, True, False]
+    assert found(search.batch_contains(corpus(spark, [BINARY, b"", None]), needles(spark, asked))) == want
+    assert [search.contains_one(corpus(spark, [BINARY]), n or b"") for n in asked] == want
+
+
+def test_no_match_across_documents(spark):
+    assert found(search.batch_contains(corpus(spark, [b"abc", b"def"]), needles(spark, [b"abc", b"def", b"cde"]))) == [True, True, False]
+
+
+def test_limit_is_in_bytes_and_silent(spark):
+    df = corpus(spark, ["ééé".encode()])
+    assert found(search.batch_contains(df, needles(spark, ["é".encode(), "éé".encode()]), max_bytes=3)) == [True, False]
+    assert search.contains_one(df, "éé".encode(), 3) is False
+
+
+def test_needles_in_several_passes(spark, monkeypatch):
+    monkeypatch.setattr(search, "NEEDLE_BYTES", 40)
+    bodies = [os.urandom(300) for _ in range(5)]
+    asked = [b[i : i + 9] for b in bodies for i in (0, 50, 291)] + [b"absent-%d" % i for i in range(9)]
+    assert found(search.batch_contains(corpus(spark, bodies), needles(spark, asked))) == [True] * 15 + [False] * 9
+    assert {r[0] for r in search.missing_needles(corpus(spark, bodies), needles(spark, asked)).collect()} == set(range(15, 24))
+
+
+def test_needles_that_share_their_start(spark):
+    lead = b"x" * 30
+    asked = [lead + bytes([c]) for c in b"abc"] + [lead[:24], lead, lead + b"a"]
+    assert found(search.batch_contains(corpus(spark, [b"--" + lead + b"b", lead + b"a" + lead]), needles(spark, asked))) == [True, True, False, True, True, True]
+
+
+def test_listing(tmp_path, spark):
+    top = write(tmp_path / "in", **{".hidden": b"h", "b.txt": b"", "a.txt": b"aa"})
+    write(tmp_path / "in" / "nested", **{"deep.txt": b"deep"})
+    os.symlink(os.path.join(top, "a.txt"), os.path.join(top, "link"))
+    base = lambda got: [os.path.relpath(p, top) for p, _ in got]
+    assert base(list_files([top])) == [".hidden", "a.txt", "b.txt"]
+    assert base(list_files([top], True)) == [".hidden", "a.txt", "b.txt", "nested/deep.txt"]
+    assert len(list_files([top, os.path.join(top, "a.txt")])) == 4
+    assert list_files([os.path.join(top, "link")])[0][1] == 2
+    with pytest.raises(EmptyCorpusError):
+        list_files([write(tmp_path / "empty")])
+    with pytest.raises(ValueError):
+        list_files([])
+    with pytest.raises(FileNotFoundError):
+        list_files([str(tmp_path / "none")])
+    got = read_files(collect_files(spark, [top])).orderBy("file_ord").collect()
+    assert [bytes(r["content"]) for r in got] == [b"h", b"aa", b""]
+    listing = collect_files(spark, [top])
+    write(top, **{"a.txt": b"longer now"})
+    with pytest.raises(Exception, match="changed"):
+        read_files(listing).collect()
+
+
+@pytest.mark.parametrize(("size", "shard", "longest", "want"), [(20, 10, 5, [(0, 10), (6, 10), (12, 8)]), (10, 10, 5, [(0, 10)]), (0, 10, 5, [(0, 0)]), (11, 10, 1, [(0, 10), (10, 1)])])
+def test_chunks(spark, size, shard, longest, want):
+    files = corpus(spark, [b"0123456789ABCDEFGHIJ"[:size]])
+    got = segments.chunk_segments(files, shard, longest).orderBy("seg_ord").collect()
+    assert [(r["offset"], r["length"]) for r in got] == want
+    pieces = segments.segment_scan(files, shard_size=shard, max_query=longest).orderBy("seg_ord").collect()
+    assert [bytes(r["content"]) for r in pieces] == [b"0123456789ABCDEFGHIJ"[o : o + n] for o, n in want if o + n <= size]
+    joined = segments.segment_scan(files, segments.chunk_segments(files, shard, longest)).count()
+    assert joined == len(want)
+
+
+def test_bad_sizes_are_errors(spark):
+    for shard, longest in ((10, 10), (10, 11), (0, 1), (10, 0)):
+        with pytest.raises(ValueError):
+            segments.check_sizes(shard, longest)
+    with pytest.raises(ValueError):
+        BuildOptions(memory_limit=63).settled(spark)
+    with pytest.raises(Exception, match="short segment"):
+        bad = spark.createDataFrame([(0, "f000", 0, 2, 99)], "file_ord bigint, path string, seg_ord int, offset bigint, length bigint")
+        segments.segment_scan(corpus(spark, [b"abc"]), bad).collect()
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_packing_is_next_fit(spark, seed):
+    rnd = random.Random(seed)
+    sizes_ = [rnd.choice([0, 1, 3, 7, 10]) for _ in range(rnd.randint(1, 200))]
+    df = spark.createDataFrame([(i, "p", 0, 0, n) for i, n in enumerate(sizes_)], "file_ord bigint, path string, seg_ord int, offset bigint, length bigint")
+    want, shard, held, any_yet = [], 0, 0, False
+    for n in sizes_:
+        if any_yet and held + n > 10:
+            shard, held = shard + 1, 0
+        want.append(shard)
+        held, any_yet = held + n, True
+    assert [r["shard_id"] for r in segments.plan_shards(df, 10).orderBy("file_ord").collect()] == want
+
+
+def test_shard_stats_count_files_once(spark):
+    planned = segments.plan_shards(segments.chunk_segments(corpus(spark, [b"x" * 25, b"y" * 4]), 10, 3), 30)
+    got = sorted(map(tuple, segments.shard_stats(planned).collect()))
+    assert got == [(0, 1, 29), (1, 1, 4)] or sum(r[2] for r in got) == 25 + 2 * 2 + 4
+    assert sorted(f for r in segments.shard_files(planned).collect() for f in r["files"])[0] == "f000"
+    at = segments.running_shard_offset(planned).orderBy("file_ord", "seg_ord").select("at").first()[0]
+    assert at == 0
+
+
+def test_filters_lose_nothing_and_prune(spark):
+    shards = spark.createDataFrame([(1, bytearray(b"base64_decode_payload")), (2, bytearray(b"json_encode_payload_without")), (3, bytearray(b"ab"))], "shard_id bigint, content binary")
+    tri, bits = grams.trigram_index(shards), grams.ngram_filter_bits(shards)
+    asked = needles(spark, [b"base64_decode", b"definitely_missing", b"base64_decode(eval", b"pay", b"a", b"ab", b""])
+    got = lambda df: sorted(map(tuple, df.collect()))
+    assert got(grams.trigram_candidates(tri, asked)) == [(0, 1), (3, 1), (3, 2)]
+    assert got(grams.ngram_candidates(bits, asked)) == [(0, 1)]
+    pairs = grams.candidates(shards, tri, bits, asked)
+    assert got(pairs) == [(0, 1), (3, 1), (3, 2), *((k, s) for k in (4, 5) for s in (1, 2, 3))]
+    assert sorted(r[0] for r in grams.verify(shards, pairs, asked).collect()) == [0, 3, 4, 5]
+
+
+def full_bits(gram):
+    """The published 64-bit hashes, whole."""
+    m64, h, x = (1 << 64) - 1, 0xCBF29CE484222325, 0x9E3779B97F4A7C15
+    for v in gram:
+        h = ((h ^ v) * 0x100000001B3) & m64
+        x ^= (v + 0x9E3779B97F4A7C15 + ((x << 6) & m64) + (x >> 2)) & m64
+    return h % (1 << 25), (h + (x | 1)) % (1 << 25)
+
+
+def test_bloom_bits_equal_the_whole_hashes(spark):
+    rnd = random.Random(3)
+    data = bytes(rnd.randrange(256) for _ in range(600))
+    want = [full_bits(data[i : i + 8]) for i in range(len(data) - 7)]
+    assert [tuple(map(int, p)) for p in grams.bloom_pairs(data)] == want
+    df = spark.createDataFrame([(bytearray(data),)], "content binary").select(F.explode(bf.windows(F.col("content"), 8)).alias("g")).select(bf.bloom_bits(F.col("g")))
+    assert {tuple(r[0]) for r in df.collect()} == set(want)
+
+
+def test_windows_of_short_and_null_contents(spark):
+    df = spark.createDataFrame([(b"",), (b"ab",), (b"abc",), (None,), (b"abcd",)], "c binary").select(bf.windows(F.col("c"), 3).alias("w"))
+    assert [[bytes(x) for x in r["w"]] for r in df.collect()] == [[], [], [b"abc"], [], [b"abc", b"bcd"]]
+    keys = spark.createDataFrame([(b"\x01\x02\xff",)], "g binary").select(bf.gram_key(F.col("g"))).first()[0]
+    assert keys == 0x0102FF == int(grams.trigram_keys(b"\x01\x02\xff")[0])
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_transforms_against_brute_force(seed):
+    rnd = random.Random(seed)
+    parts = [bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randint(0, 30))) for _ in range(rnd.randint(1, 4))]
+    text = bwt.symbols(parts)
+    assert bwt.suffix_array(text).tolist() == sorted(range(len(text)), key=lambda i: text[i:].tolist())
+    last, c = bwt.transform(text)
+    checks = bwt.checkpoints(last, 4)
+    for sym in (0, 1, 98, 256, 257):
+        for upto in range(len(last) + 1):
+            assert bwt.occ(last, checks, 4, sym, upto) == int((last[:upto] == sym).sum())
+    asked = [bytes(rnd.choice(b"ab\x00\xff") for _ in range(rnd.randint(0, 6))) for _ in range(40)]
+    want = [any(n and n in p for p in parts) for n in asked]
+    assert bwt.search_many(asked, last).tolist() == want == [bwt.search(n, c, last, checks, 4) for n in asked]
+
+
+def test_suffix_sorts_agree(spark):
+    df = spark.createDataFrame([(1, b"banana\x00\xff"), (2, b""), (3, b"aaaa"), (4, None)], "k bigint, content binary")
+    assert sorted(map(tuple, bwt.suffixes(df, "k").collect())) == sorted(map(tuple, bwt.suffix_rows(df, "k").collect()))
+
+
+def sampled(rnd, bodies):
+    out = []
+    for _ in range(60):
+        b = rnd.choice([b for b in bodies if b])
+        i, n = rnd.randrange(len(b)), rnd.choice([1, 2, 3, 5, 8, 13, 40])
+        cut = bytearray(b[i : i + n])
+        out.append(bytes(cut))
+        cut[rnd.randrange(len(cut))] ^= 1
+        out.append(bytes(cut))
+        out.append(b[-3:] + rnd.choice(bodies)[:3])
+    return [*out, b"", b"q" * 41, bodies[0][:41]]
+
+
+def test_law_scan_filters_and_transform_agree(spark, tmp_path):
+    rnd = random.Random(9)
+    bodies = [bytes(rnd.choice(b"abcdefgh \n\x00\xff") for _ in range(rnd.choice([0, 3, 90, 400, 900]))) for _ in range(25)]
+    bodies[0] = b"start of it all " * 20
+    out = f"file://{tmp_path}/index"
+    m = build_from(corpus(spark, bodies), out, BuildOptions(shard_size=300, max_query_bytes=40, check_every=16))
+    assert m.shard_count > 5 and m.total_bytes == sum(map(len, bodies)) and m.file_count == 25
+    assert m.sha256 == __import__("hashlib").sha256(b"".join(bodies)).hexdigest()
+    index, asked = open_index(spark, out), sampled(rnd, bodies)
+    want = [bool(n) and len(n) <= 40 and any(n in b for b in bodies) for n in asked]
+    q = needles(spark, asked)
+    assert found(index.batch(q)) == found(index.batch_pruned(q)) == found(index.batch_backward(q)) == want
+    for n, w in list(zip(asked, want))[:24:3] + [(b"", False), (b"q" * 41, False)]:
+        assert index.contains_bytes(n) is w
+    assert index.contains("start of it") and not index.contains("Start of it")
+
+
+def test_build_from_files_and_one_shard_has_no_limit(spark, tmp_path):
+    src = write(tmp_path / "in", one=b"first-signature", two=b"second-signature")
+    phases = []
+    m = build(spark, [src], f"file://{tmp_path}/single", BuildOptions(memory_limit=64000, max_query_bytes=5), lambda p: phases.append(p.phase))
+    index = open_index(spark, f"file://{tmp_path}/single")
+    assert m.shard_count == 1 and index.max_query_bytes() == 0 and index.contains("second-signature") and not index.contains("missing-signature")
+    assert phases[0] == "plan" and phases[-1] == "done" and m.indexed_files == [f"{src}/one", f"{src}/two"]
+    two = build(spark, [src], f"file://{tmp_path}/two", BuildOptions(memory_limit=1280, max_query_bytes=8))
+    assert (two.shard_size, two.shard_count, len(two.shards)) == (20, 2, 2)
+    assert sorted(os.listdir(tmp_path / "two")) == ["bwt", "manifest", "ngram", "plan", "segments", "trigram"]
+    with pytest.raises(EmptyCorpusError):
+        build_from(corpus(spark, []), f"file://{tmp_path}/none", BuildOptions(shard_size=20, max_query_bytes=8))
+
+
+def test_manifest_is_checked(spark, tmp_path):
+    with pytest.raises(IndexFormatError):
+        read_manifest(spark, f"file://{tmp_path}/nothing")
+    for text in ("not json", '{"kind": "other", "version": 1}', '{"kind": "needlebed-index", "version": 99}'):
+        folder = tmp_path / str(abs(hash(text))) / "manifest"
+        write(folder, **{"part": text.encode()})
+        with pytest.raises(IndexFormatError):
+            read_manifest(spark, f"file://{folder.parent}")
+
+
+def test_reload_keeps_what_is_open_when_the_new_is_broken(spark, tmp_path):
+    versions = Versions(str(tmp_path))
+    with pytest.raises(IndexFormatError):
+        Reloadable(spark, versions)
+    for body in (b"old words", b"new words"):
+        path = versions.new_path()
+        build_from(corpus(spark, [body]), path, BuildOptions(max_query_bytes=8, shard_size=100))
+        if body[:3] == b"old":
+            versions.publish(path)
+            live = Reloadable(spark, versions)
+    assert live.contains("old words")
+    versions.publish(path)
+    assert not live.contains("new words")
+    live.reload()
+    assert live.contains("new words") and not live.contains("old words")
+    versions.publish("nowhere")
+    with pytest.raises(IndexFormatError):
+        live.reload()
+    assert live.contains("new words")
+
+
+def test_batch_lines(spark, tmp_path):
+    data = b"alpha\nbeta\r\n\nlone\rcr\n\xff\xfe\r\n\r\nlast\r"
+    want = [b"alpha", b"beta", b"", b"lone\rcr", b"\xff\xfe", b"", b"last"]
+    assert split_lines(data) == want and split_lines(b"") == [] and split_lines(b"\n") == [b""]
+    path = str(tmp_path / "q")
+    with open(path, "wb") as f:
+        f.write(data)
+    assert [(r[0], bytes(r[1])) for r in read_batch(spark, path).orderBy("line_no").collect()] == list(enumerate(want, 1))
+    df = spark.createDataFrame([(1, "a\r\nb\n\nc"), (2, ""), (3, "x\n")], "id bigint, t string")
+    got = [(r[0], r[1], bytes(r[2])) for r in lines_of(df, "id", "t").orderBy("id", "line_no").collect()]
+    assert got == [(1, 1, b"a"), (1, 2, b"b"), (1, 3, b""), (1, 4, b"c"), (3, 1, b"x")]
+    result = search.as_result(search.batch_contains(corpus(spark, [b"alpha and last"]), read_batch(spark, path)))
+    assert [r["result"] for r in result.orderBy("line_no").collect()] == ["TRUE", "FALSE", "FALSE", "FALSE", "FALSE", "FALSE", "TRUE"]
+
+
+def test_sizes(spark):
+    for text, n in (("10", 10), ("8K", 8192), ("8M", 8 << 20), ("1g", 1 << 30), (" 3 ", 3)):
+        assert sizes.parse_size(text) == n
+    for text in ("0", "", "-1", "1.5K", "K", "1T", "+3", "99999999999999999999"):
+        with pytest.raises(ValueError):
+            sizes.parse_size(text)
+    cases = [0, 1023, 1024, 1280, 1536, 5 << 20, 3 << 40, (1 << 50) + 1, 7 << 57]
+    col = spark.createDataFrame([(n,) for n in cases], "n bigint").select(sizes.format_bytes_col(F.col("n"))).collect()
+    assert [r[0] for r in col] == [sizes.format_bytes(n) for n in cases] and sizes.format_bytes(1536) == "1.5K"
+    assert sizes.shard_size_for_memory(512 << 20) == 8 << 20
+
+
+def test_corpus_digest_has_no_separators(spark):
+    import hashlib
+
+    bodies = [os.urandom(5000) for _ in range(7)] + [b""]
+    assert corpus_sha256(corpus(spark, bodies)) == hashlib.sha256(b"".join(bodies)).hexdigest()
+
+
+def test_table_source_skips_nulls(spark):
+    df = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "id bigint, t string")
+    assert [(r["file_ord"], r["size"]) for r in from_table(df, "id", "t").orderBy("file_ord").collect()] == [(1, 2), (3, 0)]
+
+
+def test_stream_of_needles(spark, tmp_path):
+    needles(spark, [b"abc", b"zzz"]).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("line_no bigint, needle binary").parquet(f"{tmp_path}/in")
+    for _ in range(2):
+        answer_stream(stream, corpus(spark, [b"xabcx"]), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    assert found(answers(spark, f"{tmp_path}/out")) == [True, False]
+
+
+def test_windows_of_events(spark):
+    df = spark.sql("SELECT timestamp'2020-01-01 00:10:00' AS ts, 'a' AS event_type UNION ALL SELECT timestamp'2020-01-01 00:50:00', 'a' UNION ALL SELECT timestamp'2020-01-01 01:00:00', 'b'")
+    assert sorted((r["event_type"], r["n"]) for r in count_by_window(df).collect()) == [("a", 2), ("b", 1)]
+
+
+def test_index_reads_only_what_it_needs(spark, tmp_path):
+    rnd = np.random.default_rng(1)
+    out = f"file://{tmp_path}/i"
+    build_from(corpus(spark, [bytes(rnd.integers(97, 123, 5000, dtype=np.uint8)) for _ in range(8)]), out, BuildOptions(shard_size=6000, max_query_bytes=100, with_bwt=False, digest=False))
+    index = open_index(spark, out)
+    plan = index._table("ngram").where(F.col("bit").isin([1, 2]))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(bit" in plan
+    assert "PushedFilters: [In(shard_id" in index.segments().where(F.col("shard_id").isin([1, 2])).select("content")._jdf.queryExecution().executedPlan().toString()
