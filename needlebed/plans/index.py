@@ -44,6 +44,9 @@ class Progress:
     message: str = ""
     current: int = 0
     total: int = 0
+    current_bytes: int = 0
+    total_bytes: int = 0
+    path: str = ""
 
 
 def build(spark: SparkSession, paths: list[str], out: str, options: BuildOptions | None = None, progress: Callable[[Progress], None] | None = None) -> Manifest:
@@ -136,6 +139,13 @@ class Index:
             index, name, values = self._table("trigram"), "gram", {int(v) for v in grams.trigram_keys(needle)}
         return index.where(F.col(name).isin(sorted(values))).groupBy("shard_id").agg(F.count_distinct(name).alias("n")).where(F.col("n") == len(values)).select("shard_id")
 
+    def contains_all(self, needles: list[bytes]) -> list[bool]:
+        """Answers for a list, in its order, in one pass."""
+        if not needles:
+            return []
+        asked = self.spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(needles)], "line_no bigint, needle binary")
+        return [r["found"] for r in self.batch(asked).orderBy("line_no").collect()]
+
     def batch(self, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
         """(key, found) of many needles in one pass over the segments."""
         return search.batch_contains(self.segments(), queries, key, needle, self.max_query_bytes())
