@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from needlebed.functions.sizes import format_bytes, parse_size
 from needlebed.plans.index import BuildOptions, Index, Progress, build
-from needlebed.plans.service import DaemonConfig, Live, RebuildRunner, load_config, serve
+from needlebed.plans.service import DaemonConfig, Live, RebuildRunner, load_config, serve, too_long
 from needlebed.sources.tables import split_lines
 
 VERSION = "0.1.0"
@@ -24,7 +24,7 @@ class TooLong(ValueError):
 
 def check_length(needle: bytes, limit: int, what: str = "query") -> None:
     if limit and len(needle) > limit:
-        raise TooLong(f"{what} is {len(needle)} bytes, index supports queries up to {limit} bytes")
+        raise TooLong(too_long(what, needle, limit))
 
 
 def needle_from(words: list[str], stdin: bool, file: str | None) -> bytes:

@@ -133,6 +133,10 @@ class RebuildRunner:
         return "".join(x + "\n" for x in lines)
 
 
+def too_long(what: str, needle: bytes, limit: int) -> str:
+    return f"{what} is {len(needle)} bytes; this index takes at most {limit}"
+
+
 def respond(live, rebuild: RebuildRunner | None, method: str, target: str, body: bytes) -> tuple[int, str]:
     """Status and text for a request."""
     url = urlsplit(target)
@@ -149,13 +153,13 @@ def respond(live, rebuild: RebuildRunner | None, method: str, target: str, body:
         if not needle:
             return 400, "query is empty\n"
         if limit and len(needle) > limit:
-            return 413, f"query is {len(needle)} bytes, index supports queries up to {limit} bytes\n"
+            return 413, too_long("query", needle, limit) + "\n"
         return 200, "TRUE\n" if live.contains_bytes(needle) else "FALSE\n"
     if url.path == "/query-batch":
         lines = split_lines(body)
         for number, needle in enumerate(lines, 1):
             if limit and len(needle) > limit:
-                return 400, f"query line {number} is {len(needle)} bytes, index supports queries up to {limit} bytes\n"
+                return 400, too_long(f"query line {number}", needle, limit) + "\n"
         return 200, "".join("TRUE\n" if hit else "FALSE\n" for hit in live.contains_all(lines))
     if method == "GET":
         return 200, rebuild.status()
