@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +12,7 @@ from needlebed.functions import sizes
 from needlebed.operators import bwt, grams, search, segments
 from needlebed.plans import manifest as mf
 from needlebed.plans.index import BuildOptions, build_from, open_index
+from needlebed.shared import work_path
 from needlebed.sources.tables import from_table, lines_of
 from needlebed.streaming.search import answer_stream, answers
 
@@ -224,9 +224,8 @@ def sharded_contains(spark, d):
 
 def raw_segments(spark, d):
     """The stored segments, written by shard and read again."""
-    path = tempfile.mkdtemp(prefix="needlebed-raw-") if spark.sparkContext.master.startswith("local[") else None
-    out = f"{path or spark.conf.get('spark.checkpoint.dir')}/raw"
-    _sharded(spark, d).repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.mode("overwrite").parquet(out)
+    out = work_path(spark, "raw")
+    _sharded(spark, d).repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(out)
     return spark.read.parquet(out).select(F.col("file_ord").alias("doc_id"), "seg_ord", "shard_id", F.sha2("content", 256).alias("sha256"))
 
 
@@ -263,10 +262,7 @@ def backward_search(spark, d):
 
 
 def _built(spark, d) -> str:
-    base = tempfile.mkdtemp(prefix="needlebed-index-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.checkpoint.dir")
-    import uuid
-
-    path = f"{base}/index-{uuid.uuid4().hex}"
+    path = work_path(spark, "index")
     build_from(_docs(spark, d), path, BuildOptions(shard_size=SHARD, max_query_bytes=MAXQ))
     return path
 
@@ -286,10 +282,7 @@ def shard_manifest(spark, d):
 
 def stream_contains(spark, d):
     """The needles as a stream."""
-    base = tempfile.mkdtemp(prefix="needlebed-stream-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.checkpoint.dir")
-    import uuid
-
-    path = f"{base}/stream-{uuid.uuid4().hex}"
+    path = work_path(spark, "stream")
     items = spark.readStream.schema(_t(spark, d, "benchmark").schema).parquet(f"{d}/benchmark.parquet*").select("item_id", F.col("text").cast("binary").alias("needle"))
     answer_stream(items, _spread(_docs(spark, d)), f"{path}/out", f"{path}/state", "item_id").awaitTermination()
     return answers(spark, f"{path}/out")
