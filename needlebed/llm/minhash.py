@@ -4,9 +4,10 @@ A document is its set of hashed shingles of three words; its sketch holds the k
 are one from the start. Retained values are inverted into lists. Two sketches that can pass the filter share at least
 c values, so each only enters its |sketch| - c + 1 rarest values, and any such pair still meets in a list, while values
 that thousands of documents share aren't looked up. Overlaps are turned into an estimate over the union sketch, which
-filters; the exact Jaccard of the whole sets decides. A pair whose ends are in one group already needs no verdict, so
-groups of thousands take about as many verdicts as they have members: every member is first held against the hub of
-its best list, and only what is still apart is compared pair by pair.
+filters; the exact Jaccard of the whole sets decides. Every set is first held against one hub, the smallest set of the
+lists it is in; that joins most of a group, of thousands too, with as many verdicts as it has members. Then groups
+that still meet in a list are compared in tiles: a set goes once to a tile, not once for each pair it is in, and two
+groups are left alone as soon as a pair has joined them.
 """
 
 from __future__ import annotations
@@ -29,6 +30,9 @@ WORDS, K, THRESHOLD = 3, 64, 0.5
 #: Standard errors that the filter of the estimate leaves below the threshold.
 SLACK = 3.0
 BATCH_CHARS = 1 << 20
+#: Members, about, at which a group is compared in parts; sketches and sets that a tile holds; pairs in one numpy step.
+BLOCK, SKETCHES, SETS, PAIRS = 2048, 8192, 2048, 8192
+NONE = np.iinfo(np.int64).max
 
 def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
     """The sorted, distinct 64-bit hashes of each text's runs of ``n`` lower-case words between blanks. A text with
@@ -85,18 +89,100 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def _judged(pairs: DataFrame, of: DataFrame, measure, least: float) -> DataFrame:
-    """(a, b, j) of the pairs whose measure of the arrays in ``of`` (eid, v) is ``least`` or more."""
+def estimates(one: np.ndarray, two: np.ndarray, k: int = K) -> np.ndarray:
+    """``union_estimate`` of many pairs: rows of sketches, filled up to k with NONE."""
+    both = np.sort(np.concatenate([one, two], 1), axis=1)
+    same = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != NONE)
+    first = both != NONE
+    first[:, 1:] &= ~same
+    rank = np.cumsum(first, axis=1)
+    size = np.minimum(rank[:, -1], k)
+    return (same & (rank[:, 1:] <= k)).sum(1) / np.maximum(size, 1)
 
-    def run(batches):
-        for batch in batches:
-            a, b, (x, y) = batch.column(0).to_pylist(), batch.column(1).to_pylist(), (batch.column(i) for i in (2, 3))
-            j = [measure(x[i].values.to_numpy(), y[i].values.to_numpy()) for i in range(len(a))]
-            keep = [i for i, v in enumerate(j) if v >= least - 1e-12]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64()), pa.array([j[i] for i in keep], pa.float64())], ["a", "b", "j"])
 
-    one, two = (of.select(F.col("eid").alias(c), F.col("v").alias(v)) for c, v in (("a", "va"), ("b", "vb")))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "va", "vb").mapInArrow(run, "a bigint, b bigint, j double")
+def _linked(batches, k: int, least: float, threshold: float | None):
+    """Rows (tile, kind, x, y, v) sorted by tile, then kind: kind 0 is a set, x its id, y its unit, v its array; kind 1
+    is a link of the units x and y. Gives (a, b, ua, ub), one pair of sets for each link of which some pair passes.
+
+    The estimate is over the k smallest of the arrays, which are sketches or whole sets; with a ``threshold`` a pair
+    passes if the Jaccard of the whole arrays reaches it too.
+    """
+
+    class Tile:
+        def __init__(self, key):
+            self.key, self.ids, self.units, self.vecs, self.at = key, [], [], [], None
+
+        def ready(self):
+            order = np.argsort(np.array(self.units), kind="stable")
+            self.ids, self.vecs = np.array(self.ids)[order], [self.vecs[i] for i in order]
+            units = np.array(self.units)[order]
+            self.heads = np.full((len(order), k), NONE, np.int64)
+            for i, v in enumerate(self.vecs):
+                self.heads[i, : min(k, len(v))] = v[:k]
+            first = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
+            self.at = dict(zip(units[first].tolist(), zip(first.tolist(), np.r_[first[1:], len(units)].tolist())))
+
+        def judge(self, links, out):
+            rows, ia, ib, n = [], [], [], 0
+            for link in links:
+                a, b = self.at.get(link[0]), self.at.get(link[1])
+                if a and b:
+                    i, j = np.arange(*a), np.arange(*b)
+                    ia.append(np.repeat(i, len(j)))
+                    ib.append(np.tile(j, len(i)))
+                    rows.append((link, len(i) * len(j)))
+                    n += len(i) * len(j)
+                    if n >= PAIRS:
+                        self.some(rows, np.concatenate(ia), np.concatenate(ib), out)
+                        rows, ia, ib, n = [], [], [], 0
+            if rows:
+                self.some(rows, np.concatenate(ia), np.concatenate(ib), out)
+
+        def some(self, rows, ia, ib, out):
+            good = np.concatenate([estimates(self.heads[ia[i : i + PAIRS]], self.heads[ib[i : i + PAIRS]], k) for i in range(0, len(ia), PAIRS)]) >= least - 1e-12
+            of_link, done = np.repeat(np.arange(len(rows)), [r[1] for r in rows]), -1
+            for i in np.flatnonzero(good):
+                if of_link[i] != done and (threshold is None or jaccard(self.vecs[ia[i]], self.vecs[ib[i]]) >= threshold - 1e-12):
+                    done = of_link[i]
+                    out.append((self.ids[ia[i]], self.ids[ib[i]], *rows[done][0]))
+
+    tile = None
+    for batch in batches:
+        out, links = [], []
+        column = batch.column(4)
+        for i, (key, kind, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
+            if tile is None or key != tile.key:
+                if links:
+                    tile.judge(links, out)
+                tile, links = Tile(key), []
+            if kind == 0:
+                tile.ids.append(x)
+                tile.units.append(y)
+                tile.vecs.append(column[i].values.to_numpy().copy())
+            elif len(tile.ids):
+                if tile.at is None:
+                    tile.ready()
+                links.append((x, y))
+        if links:
+            tile.judge(links, out)
+        yield pa.RecordBatch.from_arrays([pa.array([int(p[c]) for p in out], pa.int64()) for c in range(4)], ["a", "b", "ua", "ub"])
+
+
+def _judged(links: DataFrame, units: DataFrame, n: int, of: DataFrame, tile: int, k: int, least: float, threshold: float | None = None) -> DataFrame:
+    """(a, b, ua, ub) of the links (ua, ub) of units (eid, u), ``n`` sets in all, of which some pair of the sets in
+    ``of`` (eid, v) passes.
+
+    Units are dealt to tiles that hold about ``tile`` sets; a link belongs to a pair of tiles. A set goes once to each
+    pair of tiles in which it has a link, however many it has there.
+    """
+    g = max(6, math.ceil(n / tile))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(g))
+    placed = links.select("ua", "ub", (F.least(place("ua"), place("ub")) * g + F.greatest(place("ua"), place("ub"))).alias("tile"))
+    asked = placed.select("tile", F.col("ua").alias("u")).unionAll(placed.select("tile", F.col("ub").alias("u"))).distinct()
+    asked = cut(asked.join(units, "u").select("tile", F.col("eid"), "u"))
+    given = of.join(small_enough(asked, asked.count(), 64), "eid").select("tile", F.lit(0).alias("kind"), F.col("eid").alias("x"), F.col("u").alias("y"), "v")
+    rows = given.unionAll(placed.select("tile", F.lit(1), "ua", "ub", F.lit(None).cast("array<bigint>")))
+    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda it: _linked(it, k, least, threshold), "a bigint, b bigint, ua bigint, ub bigint")
 
 
 def candidate_lists(entities: DataFrame, least: float) -> DataFrame:
@@ -110,16 +196,17 @@ def candidate_lists(entities: DataFrame, least: float) -> DataFrame:
     return kept.withColumn("n", F.count("*").over(Window.partitionBy("value"))).where("n > 1").drop("n")
 
 
-def _cross_pairs(lists: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b, ca, cb): the pairs that meet in a list and are in different groups. Groups are paired before their
-    members, so a list within one group costs nothing."""
-    at = lists.join(parts.withColumnRenamed("node", "eid"), "eid", "left").withColumn("c", F.coalesce("component", "eid")).drop("component")
-    by = Window.partitionBy("value")
-    at = cut(at.withColumn("lo", F.min("c").over(by)).withColumn("hi", F.max("c").over(by)).where("lo < hi").select("value", "eid", "c"))
-    groups = at.select("value", "c").distinct()
-    met = groups.withColumnRenamed("c", "ca").join(groups.withColumnRenamed("c", "cb"), "value").where("ca < cb")
-    met = met.join(at.select("value", F.col("c").alias("ca"), F.col("eid").alias("a")), ["value", "ca"]).join(at.select("value", F.col("c").alias("cb"), F.col("eid").alias("b")), ["value", "cb"])
-    return met.select("a", "b", "ca", "cb").distinct()
+def _units(parts: DataFrame) -> DataFrame:
+    """(eid, c, u): groups (eid, c) with their units: a group, or a part of one that has more than BLOCK members."""
+    n = F.ceil(F.count("*").over(Window.partitionBy("c")) / BLOCK)
+    return parts.withColumn("n", n).select("eid", "c", F.when(F.col("n") > 1, F.xxhash64("c", F.pmod(F.xxhash64("eid"), F.col("n")))).otherwise(F.col("c")).alias("u"))
+
+
+def _apart(lists: DataFrame, units: DataFrame) -> DataFrame:
+    """(ua, ub): the units of different groups of which members meet in a list."""
+    at = lists.join(units, "eid").select("value", "c", "u").distinct()
+    one, two = (at.select("value", F.col("c").alias("c" + x), F.col("u").alias("u" + x)) for x in ("a", "b"))
+    return one.join(two, "value").where("ca < cb").select("ua", "ub").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
@@ -127,12 +214,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     need(docs, id_col, text_col)
     rows = cut(sketches(docs, id_col, text_col, n, k))
     least = max(0.0, threshold - SLACK * math.sqrt(threshold * (1 - threshold) / k))
-    entities = rows.groupBy("eid").agg(F.min("id").alias("id"), F.first("sketch").alias("sketch"))
     lists = cut(candidate_lists(rows.select("eid", "sketch").dropDuplicates(["eid"]), least))
-    some = lists.select("eid").distinct()
-    inside = cut(entities.join(some, "eid", "left_semi").select("eid", id_key(F.col("id")).alias("key"), F.col("sketch").alias("v")))
+    some = cut(lists.select("eid").distinct())
+    n_some = some.count()
+    inside = rows.join(small_enough(some, n_some, 16), "eid", "left_semi").groupBy("eid").agg(F.min("id").alias("id"), F.first("sketch").alias("v"))
+    inside = cut(inside.select("eid", id_key(F.col("id")).alias("key"), "v"))
+    few = lambda df: small_enough(df, n_some, 48)
 
-    # The whole sets of the documents that stand for a set in the lists.
+    # The whole sets of the documents that stand for a set in the lists; one that comes twice does no harm.
     def whole(batches):
         for batch in batches:
             for _, texts in stretches(batch.column(0), BATCH_CHARS):
@@ -140,33 +229,22 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 off = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["eid", "v"])
 
-    keys = small_enough(inside.select(F.col("key").alias("__key")).distinct(), inside.count(), 48)
-    texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).alias("__text")).join(keys, "__key", "left_semi").select("__text")
-    sets = cut(texts.mapInArrow(whole, "eid bigint, v array<bigint>").join(inside.select("eid"), "eid", "left_semi").dropDuplicates(["eid"]))
-    exact = lambda pairs: _judged(pairs, sets, jaccard, threshold).select("a", "b")
-    guess = lambda pairs: _judged(pairs, inside, lambda x, y: union_estimate(x, y, k), least)
-
-    hubs = lists.withColumn("b", F.min("eid").over(Window.partitionBy("value"))).where("eid > b").select(F.col("eid").alias("a"), "b").distinct()
-    best = guess(hubs).withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).where("rn = 1").select("a", "b")
-    edges = cut(exact(best))
-    parts = connected_components(edges)
-    cross = _cross_pairs(lists, parts)
-    apart = guess(cross.select("a", "b")).join(cross, ["a", "b"])
-    by_groups = Window.partitionBy("ca", "cb").orderBy(F.desc("j"), "a", "b")
-    apart = cut(apart.withColumn("rn", F.row_number().over(by_groups)).select("a", "b", "rn"))
-    # The likeliest pair of two groups first, then some, then all that are still apart.
-    for low, high in ((0, 1), (1, 32), (32, None)):
-        todo = apart.where(F.col("rn") > low) if high is None else apart.where((F.col("rn") > low) & (F.col("rn") <= high))
-        if low:
-            one, two = (parts.select(F.col("node").alias(x), F.col("component").alias("c" + x)) for x in ("a", "b"))
-            todo = todo.join(one, "a", "left").join(two, "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        new = cut(exact(todo.select("a", "b")))
-        if not new.isEmpty():
-            edges = edges.unionAll(new)
-            parts = connected_components(edges)
-        if high is not None and apart.where(F.col("rn") > high).isEmpty():
-            break
-    named = parts.select(F.col("node").alias("eid"), F.col("component").alias("grp"))
+    texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).alias("__text")).join(few(inside.select(F.col("key").alias("__key"))), "__key", "left_semi")
+    sets = cut(texts.select("__text").mapInArrow(whole, "eid bigint, v array<bigint>").join(few(some), "eid", "left_semi"))
+
+    # Each set against the hub that it meets in most lists: a hub is the smallest set of a list.
+    by_hub = lists.withColumn("hub", F.min("eid").over(Window.partitionBy("value"))).where("eid > hub").groupBy("eid", "hub").agg(F.count("*").alias("met"))
+    best = by_hub.withColumn("rn", F.row_number().over(Window.partitionBy("eid").orderBy(F.desc("met"), "hub"))).where("rn = 1").select("eid", "hub")
+    own = some.select("eid", F.col("eid").alias("u"))
+    few_of, all_of = inside.select("eid", "v"), sets
+    sketched = lambda links, units: cut(_judged(links, units, n_some, few_of, SKETCHES, k, least).select("ua", "ub"))
+    proved = lambda links, units: cut(_judged(links, units, n_some, all_of, SETS, k, least, threshold).select("a", "b"))
+    edges = proved(sketched(cut(best.select(F.col("hub").alias("ua"), F.col("eid").alias("ub"))), own), own)
+    # What is still apart, group against group: first by the sketches, then by the sets.
+    found = connected_components(edges).select(F.col("node").alias("eid"), F.col("component").alias("c"))
+    units = cut(_units(some.join(found, "eid", "left").withColumn("c", F.coalesce("c", "eid"))))
+    more = proved(sketched(cut(_apart(lists, units)), units.drop("c")), units.drop("c"))
+    named = connected_components(edges.unionAll(more)).select(F.col("node").alias("eid"), F.col("component").alias("grp"))
     return rows.select("id", "th", "eid").join(named, "eid", "left").withColumn("grp", F.coalesce("grp", "eid"))
 
 

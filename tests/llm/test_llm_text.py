@@ -103,7 +103,15 @@ def test_near_dedup_against_brute_force(spark):
     assert all(i in got for i, t in enumerate(texts) if not (t or "").split())
 
 
-def test_near_dedup_blocks_link_groups_that_no_hub_joins(spark):
+def test_near_dedup_in_parts(spark, monkeypatch):
+    """Groups of more members than are compared at once."""
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    monkeypatch.setattr(minhash, "PAIRS", 5)
+    texts = [edited(prose(b, 120), 77 * b + v, 18) for b in range(4) for v in range(14)]
+    assert ids(minhash.near_dedup(docs_of(spark, texts))) == brute_groups(texts)
+
+
+def test_near_dedup_tiles_link_groups_that_no_hub_joins(spark):
     """A chain: neighbours are alike, the ends aren't."""
     words, texts = prose(1, 200).split(), []
     for _ in range(12):
@@ -130,6 +138,16 @@ def test_sketch_estimate_is_exact_for_small_sets_and_near_for_large():
     assert abs(minhash.union_estimate(x[:64], y[:64]) - minhash.jaccard(x, y)) < 0.25
 
 
+def test_batched_estimates_are_the_single_ones():
+    rnd, k = np.random.default_rng(3), 16
+    rows = [np.unique(rnd.integers(0, 40, rnd.integers(1, 30)))[:k] for _ in range(200)]
+    full = np.full((200, k), minhash.NONE)
+    for i, r in enumerate(rows):
+        full[i, : len(r)] = r
+    got = minhash.estimates(full[:100], full[100:], k)
+    assert np.allclose(got, [minhash.union_estimate(a, b, k) for a, b in zip(rows[:100], rows[100:])])
+
+
 def test_shingles_ignore_case_and_blanks_and_take_long_words():
     a, b = minhash.shingle_sets(["A b\tc  D", "a B\nC d "])
     assert len(a) == 2 and (a == b).all()
