@@ -36,7 +36,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     for i in range(7):
         key <<= 9
         key[: max(0, n - i)] |= text[i:]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     first = np.r_[True, key[order][1:] != key[order][:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(n), 0))
     rank = np.empty(n, np.int64)
@@ -49,7 +49,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
             return order
         at = order[tied]
         after = np.where(at + ahead < n, rank[np.minimum(at + ahead, n - 1)], -1)
-        again = np.lexsort((after, rank[at]))
+        again = np.argsort(rank[at] * (n + 1) + after)
         group, after, at = rank[at][again], after[again], at[again]
         order[tied] = at
         first[tied] = np.r_[True, (group[1:] != group[:-1]) | (after[1:] != after[:-1])]

@@ -52,6 +52,13 @@ def _sharded(spark, d, shard: int = SHARD) -> DataFrame:
     return cut.join(planned.select("file_ord", "seg_ord", "shard_id"), ["file_ord", "seg_ord"]).select("shard_id", "file_ord", "seg_ord", "content")
 
 
+def _stored(spark, d) -> DataFrame:
+    """The sharded documents, written once for what reads them several times."""
+    out = work_path(spark, "segments")
+    _sharded(spark, d).repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(out)
+    return spark.read.parquet(out)
+
+
 def contains_literal(spark, d):
     """One pass for all: a maximum over the rows for each literal."""
     one = _docs(spark, d).agg(*[F.coalesce(F.max(bf.found_in(F.col("content"), F.lit(bytearray(s.encode())))), F.lit(False)).alias(f"c{i}") for i, s in enumerate(LITERALS)])
@@ -209,14 +216,14 @@ def prefilter_route(spark, d):
 
 def raw_verify(spark, d):
     """Candidates by the 8-gram filter, then the bytes."""
-    segs, items = _sharded(spark, d), _items(spark, d)
+    segs, items = _stored(spark, d), _items(spark, d)
     hits = grams.verify(segs, grams.ngram_candidates(grams.ngram_filter_bits(segs), items, "item_id"), items, "item_id").withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
 def sharded_contains(spark, d):
     """By route, with the limit that an index of several shards has."""
-    segs, items = _sharded(spark, d), _items(spark, d)
+    segs, items = _stored(spark, d), _items(spark, d)
     pairs = grams.candidates(segs, grams.trigram_index(segs), grams.ngram_filter_bits(segs), items.where(F.octet_length("needle") <= MAXQ), "item_id")
     hits = grams.verify(segs, pairs, items, "item_id").withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
@@ -224,9 +231,7 @@ def sharded_contains(spark, d):
 
 def raw_segments(spark, d):
     """The stored segments, written by shard and read again."""
-    out = work_path(spark, "raw")
-    _sharded(spark, d).repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(out)
-    return spark.read.parquet(out).select(F.col("file_ord").alias("doc_id"), "seg_ord", "shard_id", F.sha2("content", 256).alias("sha256"))
+    return _stored(spark, d).select(F.col("file_ord").alias("doc_id"), "seg_ord", "shard_id", F.sha2("content", 256).alias("sha256"))
 
 
 def suffix_array(spark, d):
