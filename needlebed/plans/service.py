@@ -127,7 +127,7 @@ class RebuildRunner:
             lines = [f"status={'running' if self.running else 'idle'}"]
             for name, at in (("last_started", self.started), ("last_finished", self.finished)):
                 if at:
-                    lines.append(f"{name}={at:%Y-%m-%dT%H:%M:%SZ}")
+                    lines.append(f"{name}={at.isoformat(timespec='seconds')}")
             if self.error:
                 lines.append(f"last_error={self.error}")
         return "".join(x + "\n" for x in lines)

@@ -38,11 +38,11 @@ def write(folder, **files):
     return str(folder)
 
 
-BINARY = b"<?php\nbase64_encode(str_replace(\n\x00\xffEND"
+BINARY = b"#!/bin/sh\nprintf(\"%s\", decode(cut(\n" + bytes([0, 255]) + b"tail"
 
 
 def test_binary_and_case(spark):
-    asked = [b"base64_encode(str_replace(", b"\x00\xffEND", b"<?php\nbase64", b"Base64_encode", b"missing", b"", None, b"\xff", BINARY, BINARY + b"x"]
+    asked = [b"decode(cut(", b"\x00\xfftail", b"sh\nprintf", b"Decode(", b"missing", b"", None, b"\xff", BINARY, BINARY + b"x"]
     want = [True, True, True, False, False, False, False, True, True, False]
     assert found(search.batch_contains(corpus(spark, [BINARY, b"", None]), needles(spark, asked))) == want
     assert [search.contains_one(corpus(spark, [BINARY]), n or b"") for n in asked] == want
