@@ -168,9 +168,9 @@ def _linked(batches, k: int, least: float, threshold: float | None):
         yield pa.RecordBatch.from_arrays([pa.array([int(p[c]) for p in out], pa.int64()) for c in range(4)], ["a", "b", "ua", "ub"])
 
 
-def _judged(links: DataFrame, units: DataFrame, n: int, of: DataFrame, tile: int, k: int, least: float, threshold: float | None = None) -> DataFrame:
-    """(a, b, ua, ub) of the links (ua, ub) of units (eid, u), ``n`` sets in all, of which some pair of the sets in
-    ``of`` (eid, v) passes.
+def _judged(links: DataFrame, units: DataFrame, n: int, of, tile: int, k: int, least: float, threshold: float | None = None) -> DataFrame:
+    """(a, b, ua, ub) of the links (ua, ub) of units (eid, u), ``n`` sets in all, of which some pair of sets passes.
+    ``of`` gives the arrays (eid, v) for a table with the ids of those that are needed and its number of rows.
 
     Units are dealt to tiles that hold about ``tile`` sets; a link belongs to a pair of tiles. A set goes once to each
     pair of tiles in which it has a link, however many it has there.
@@ -180,9 +180,10 @@ def _judged(links: DataFrame, units: DataFrame, n: int, of: DataFrame, tile: int
     placed = links.select("ua", "ub", (F.least(place("ua"), place("ub")) * g + F.greatest(place("ua"), place("ub"))).alias("tile"))
     asked = placed.select("tile", F.col("ua").alias("u")).unionAll(placed.select("tile", F.col("ub").alias("u"))).distinct()
     asked = cut(asked.join(units, "u").select("tile", F.col("eid"), "u"))
-    given = of.join(small_enough(asked, asked.count(), 64), "eid").select("tile", F.lit(0).alias("kind"), F.col("eid").alias("x"), F.col("u").alias("y"), "v")
-    rows = given.unionAll(placed.select("tile", F.lit(1), "ua", "ub", F.lit(None).cast("array<bigint>")))
-    return rows.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda it: _linked(it, k, least, threshold), "a bigint, b bigint, ua bigint, ub bigint")
+    rows = asked.count()
+    given = of(asked, rows).join(small_enough(asked, rows, 64), "eid").select("tile", F.lit(0).alias("kind"), F.col("eid").alias("x"), F.col("u").alias("y"), "v")
+    every = given.unionAll(placed.select("tile", F.lit(1), "ua", "ub", F.lit(None).cast("array<bigint>")))
+    return every.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda it: _linked(it, k, least, threshold), "a bigint, b bigint, ua bigint, ub bigint")
 
 
 def candidate_lists(entities: DataFrame, least: float) -> DataFrame:
@@ -219,9 +220,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n_some = some.count()
     inside = rows.join(small_enough(some, n_some, 16), "eid", "left_semi").groupBy("eid").agg(F.min("id").alias("id"), F.first("sketch").alias("v"))
     inside = cut(inside.select("eid", id_key(F.col("id")).alias("key"), "v"))
-    few = lambda df: small_enough(df, n_some, 48)
 
-    # The whole sets of the documents that stand for a set in the lists; one that comes twice does no harm.
+    # The whole sets of the documents that stand for those asked for; one that comes twice does no harm. They are
+    # made anew for each use, from no more texts than it needs: to keep them all would take as much room as the texts.
     def whole(batches):
         for batch in batches:
             for _, texts in stretches(batch.column(0), BATCH_CHARS):
@@ -229,16 +230,17 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 off = np.cumsum([0] + [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([pa.array([set_id(s) for s in sets]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(sets)))], ["eid", "v"])
 
-    texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).alias("__text")).join(few(inside.select(F.col("key").alias("__key"))), "__key", "left_semi")
-    sets = cut(texts.select("__text").mapInArrow(whole, "eid bigint, v array<bigint>").join(few(some), "eid", "left_semi"))
+    def sets_of(asked: DataFrame, rows: int) -> DataFrame:
+        keys = small_enough(inside.join(small_enough(asked.select("eid").distinct(), rows, 16), "eid", "left_semi").select(F.col("key").alias("__key")), min(rows, n_some), 48)
+        texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).alias("__text")).join(keys, "__key", "left_semi")
+        return texts.select("__text").mapInArrow(whole, "eid bigint, v array<bigint>")
 
     # Each set against the hub that it meets in most lists: a hub is the smallest set of a list.
     by_hub = lists.withColumn("hub", F.min("eid").over(Window.partitionBy("value"))).where("eid > hub").groupBy("eid", "hub").agg(F.count("*").alias("met"))
     best = by_hub.withColumn("rn", F.row_number().over(Window.partitionBy("eid").orderBy(F.desc("met"), "hub"))).where("rn = 1").select("eid", "hub")
     own = some.select("eid", F.col("eid").alias("u"))
-    few_of, all_of = inside.select("eid", "v"), sets
-    sketched = lambda links, units: cut(_judged(links, units, n_some, few_of, SKETCHES, k, least).select("ua", "ub"))
-    proved = lambda links, units: cut(_judged(links, units, n_some, all_of, SETS, k, least, threshold).select("a", "b"))
+    sketched = lambda links, units: cut(_judged(links, units, n_some, lambda *_: inside.select("eid", "v"), SKETCHES, k, least).select("ua", "ub"))
+    proved = lambda links, units: cut(_judged(links, units, n_some, sets_of, SETS, k, least, threshold).select("a", "b"))
     edges = proved(sketched(cut(best.select(F.col("hub").alias("ua"), F.col("eid").alias("ub"))), own), own)
     # What is still apart, group against group: first by the sketches, then by the sets.
     found = connected_components(edges).select(F.col("node").alias("eid"), F.col("component").alias("c"))
