@@ -440,3 +440,28 @@ def test_versions_and_assignment(spark, tmp_path):
     assert sharding.rebalance(sharding.initial_map(spark), empty).where("moved").count() == 0
     nulls = spark.createDataFrame([(None, "x"), (None, "y")], "doc_id bigint, text string")
     assert sharding.assign(nulls, sharding.initial_map(spark)).select("shard").distinct().count() == 1
+
+
+# Plans.
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_extraction_stays_in_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id bigint, url string, html string").write.parquet(str(tmp_path / "pages"))
+    text = plan(html_extract.extract_text(spark.read.parquet(str(tmp_path / "pages"))).select("page_id", "text"))
+    assert "Exchange" not in text and "Python" not in text and "Arrow" not in text and "ReadSchema: struct<page_id:bigint,html:string>" in text
+
+
+def test_encoding_reads_two_columns_and_shuffles_nothing(spark, tmp_path):
+    docs_of(spark, ["a"]).write.parquet(str(tmp_path / "docs"))
+    text = plan(bpe.bpe_encode(spark.read.parquet(str(tmp_path / "docs")).select("doc_id", "text")))
+    assert "Exchange" not in text and "ReadSchema: struct<doc_id:bigint,text:string>" in text
+
+
+def test_assignment_broadcasts_the_map_only(spark, tmp_path):
+    docs_of(spark, ["a"]).write.parquet(str(tmp_path / "docs"))
+    text = plan(sharding.assign(spark.read.parquet(str(tmp_path / "docs")), sharding.initial_map(spark)).select("doc_id", "shard"))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text and "ReadSchema: struct<doc_id:bigint>" in text
