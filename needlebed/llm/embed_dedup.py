@@ -13,6 +13,8 @@ from needlebed.llm.common import fresh, need
 from needlebed.llm.graph import connected_components
 
 THRESHOLD, RECALL, LOAD, SEED = 0.95, 0.98, 4.0, 7
+#: A bucket of up to so many vectors is multiplied out at once.
+SMALL = 512
 
 
 def table_shape(n: int, threshold: float = THRESHOLD, recall: float = RECALL, load: float = LOAD) -> tuple[int, int]:
@@ -55,8 +57,14 @@ def _sign(batches, bits: int, tables: int, seed: int):
 
 
 def _links(ids: np.ndarray, x: np.ndarray, threshold: float) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs of one bucket with at least that cosine: every vector that is reached is compared
-    with all that aren't yet, so nothing is missed, and a tight group of m takes m comparisons, not m * m."""
+    """The pairs of one bucket with at least that cosine, or where they are many a spanning forest of them: every vector
+    that is reached is compared with all that aren't yet, so nothing is missed, and a tight group of m takes m
+    comparisons, not m * m."""
+    if len(ids) <= SMALL:
+        y = x.astype(np.float64)
+        i, j = np.nonzero(np.triu(y @ y.T >= threshold - 1e-6, 1))
+        if len(i) <= 2 * len(ids):
+            return list(zip(ids[i], ids[j]))
     out, rest = [], np.arange(len(ids))
     while len(rest) > 1:
         queue, rest = [rest[0]], rest[1:]
