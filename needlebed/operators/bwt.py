@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import as_bytes
+from needlebed.shared import by_key
 
 END, MARK, SYMBOLS, CHECK_EVERY = 0, 257, 258, 4096
 INDEX = "shard_id bigint, length bigint, c array<bigint>, bwt binary, check_every int, checks binary"
@@ -133,7 +134,7 @@ def build_index(segments: DataFrame, check_every: int = CHECK_EVERY) -> DataFram
         if shard is not None:
             yield row()
 
-    rows = segments.select("shard_id", "file_ord", "seg_ord", "content").repartition("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord")
+    rows = by_key(segments.select("shard_id", "file_ord", "seg_ord", "content"), "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord")
     return rows.select("shard_id", "content").mapInArrow(run, INDEX)
 
 

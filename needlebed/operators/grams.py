@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import _A0, _C48, _FNV, _G, BLOOM_BITS, as_bytes
+from needlebed.shared import by_key
 
 TRIGRAM, NGRAM = 3, 8
 
@@ -61,7 +62,7 @@ def _distinct_by(df: DataFrame, key: str, content: str, what, name: str) -> Data
             yield rows()
 
     some = df.select(F.col(key).cast("bigint").alias(key), as_bytes(F.col(content)).alias("__body")).where(F.col(key).isNotNull() & F.col("__body").isNotNull())
-    return some.repartition(key).sortWithinPartitions(key).mapInArrow(run, f"{key} bigint, {name} bigint")
+    return by_key(some, key).sortWithinPartitions(key).mapInArrow(run, f"{key} bigint, {name} bigint")
 
 
 def trigram_index(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from needlebed.functions.sizes import BUILD_FACTOR, DEFAULT_MAX_QUERY, DEFAULT_MEMORY, shard_size_for_memory
 from needlebed.operators import bwt, grams, search, segments
 from needlebed.plans.manifest import Manifest, Versions, corpus_sha256, read_manifest, write_manifest
+from needlebed.shared import by_key
 from needlebed.sources.tables import collect_files, read_files
 
 
@@ -73,12 +74,12 @@ def build_from(files: DataFrame, out: str, options: BuildOptions | None = None,
     tell(Progress("segments", "writing segments", 0, len(stats)))
     cut = segments.segment_scan(files, shard_size=opt.shard_size, max_query=opt.max_query_bytes).drop("path", "length")
     placed = cut.join(planned.select("file_ord", "seg_ord", "shard_id"), ["file_ord", "seg_ord"])
-    placed.repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments")
+    by_key(placed, "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments")
     stored = spark.read.parquet(f"{out}/segments")
     if len(stats) > 1:
         tell(Progress("filters", "writing n-gram filter and trigram index"))
-        grams.ngram_filter_bits(stored).repartitionByRange("bit").sortWithinPartitions("bit").write.parquet(f"{out}/ngram")
-        grams.trigram_index(stored).repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{out}/trigram")
+        by_key(grams.ngram_filter_bits(stored), F.shiftright("bit", 15)).sortWithinPartitions("bit").write.parquet(f"{out}/ngram")
+        by_key(grams.trigram_index(stored), F.shiftright("gram", 14)).sortWithinPartitions("gram").write.parquet(f"{out}/trigram")
     if opt.with_bwt:
         tell(Progress("shards", "sorting shards", 0, len(stats)))
         bwt.build_index(stored, opt.check_every).write.parquet(f"{out}/bwt")

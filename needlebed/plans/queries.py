@@ -12,7 +12,7 @@ from needlebed.functions import sizes
 from needlebed.operators import bwt, grams, search, segments
 from needlebed.plans import manifest as mf
 from needlebed.plans.index import BuildOptions, build_from, open_index
-from needlebed.shared import work_path
+from needlebed.shared import by_key, work_path
 from needlebed.sources.tables import from_table, lines_of
 from needlebed.streaming.search import answer_stream, answers
 
@@ -55,7 +55,7 @@ def _sharded(spark, d, shard: int = SHARD) -> DataFrame:
 def _stored(spark, d) -> DataFrame:
     """The sharded documents, written once for what reads them several times."""
     out = work_path(spark, "segments")
-    _sharded(spark, d).repartitionByRange("shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(out)
+    by_key(_sharded(spark, d), "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(out)
     return spark.read.parquet(out)
 
 
@@ -239,15 +239,15 @@ def suffix_array(spark, d):
 
 
 def suffix_array_doubling(spark, d):
-    return bwt.suffix_rows(_parts(spark, d), "p_partkey").select("p_partkey", "rk", "pos")
+    return bwt.suffix_rows(_spread(_parts(spark, d)), "p_partkey").select("p_partkey", "rk", "pos")
 
 
 def bwt_rows(spark, d):
-    return bwt.suffix_rows(_parts(spark, d), "p_partkey").select("p_partkey", "rk", "prev")
+    return bwt.suffix_rows(_spread(_parts(spark, d)), "p_partkey").select("p_partkey", "rk", "prev")
 
 
 def symbol_counts(spark, d):
-    return bwt.symbol_counts(_docs(spark, d), "file_ord").withColumnRenamed("file_ord", "doc_id")
+    return bwt.symbol_counts(_spread(_docs(spark, d)), "file_ord").withColumnRenamed("file_ord", "doc_id")
 
 
 def c_table(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,3 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder."""
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+def by_key(df: DataFrame, *columns) -> DataFrame:
+    """``df`` shuffled by columns into all of ``spark.sql.shuffle.partitions``: for rows that are few but take long, which
+    would else be merged into few tasks by their bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
