@@ -12,7 +12,7 @@ from needlebed.llm.exact_dedup import exact_dedup
 from needlebed.llm.minhash import near_dedup
 from needlebed.llm.mixing import mix_sources
 from needlebed.llm.quality import quality_filter
-from needlebed.llm.queries import MIX
+from needlebed.llm.queries import MIX, MIX_SHARE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each source as many tokens as its weight gives it."""
-    return mix_sources(docs, MIX)
+    """A part of all tokens, of each source as many as its weight gives it, or all if it has less."""
+    return mix_sources(docs, MIX, share=MIX_SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact token length. Each source gets a budget of tokens by its weight. A proportional part of
+Documents are counted by exact token length. Each source gets a budget of tokens by its weight, and what sources have
+less than that goes to the others by theirs. A proportional part of
 every length is taken outright; what remains of the budget is filled by bounded-knapsack dynamic programming over the
 counts that are left. Which documents of a length are taken is decided by a seeded hash.
 """
@@ -66,13 +67,14 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> tuple[list[int],
     return take, budget - rest + best
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, default_weight: float = 1.0, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, seed: int = SEED, tokens_out: str | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget: int | None = None, default_weight: float = 1.0, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, seed: int = SEED, tokens_out: str | None = None, share: float | None = None) -> DataFrame:
     """The rows of ``docs`` that are selected, with its columns and, if it is named, ``tokens_out``, their lengths.
 
-    A source's budget is its part of the sum of weights times ``budget``, rounded down; with no ``budget``, the largest
-    for which no source has to give more than it has. ``weights`` are by source; others have ``default_weight``, rows
-    with a null source together too. A weight of 0 or less takes none of that source. A source that has less than its
-    budget gives all. Rows without tokens (null, empty and blank texts) add nothing to any budget and aren't selected.
+    A source's budget is its part of the sum of weights times ``budget``, rounded down. A source that has less gives
+    all, and the others share the rest by their weights, so the whole is ``budget`` wherever there are as many tokens.
+    With no ``budget`` it is the largest for which no source has to give more than it has, which the scarcest one
+    decides, but at least this ``share`` of all tokens of sources with a weight. ``weights`` are by source; others have ``default_weight``, rows with a null source together too. A weight of 0 or less takes none of
+    that source. Rows without tokens (null, empty and blank texts) add nothing to any budget and aren't selected.
     Repeated rows are rows like others, each counted and taken for itself; where a tie of equal hashes has to be
     split, the order of the ids and then of the other columns decides. An empty table gives an empty table.
     """
@@ -89,10 +91,19 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     for name, w in (weights or {}).items():
         weight = F.when(F.col("src") == "=" + name, F.lit(float(w))).otherwise(weight)
     totals = hist.groupBy("src").agg(F.sum(F.col("n") * F.col("c")).alias("has")).withColumn("w", weight).where("w > 0")
-    whole = totals.agg(F.sum("w").alias("all_w"))
-    goal = totals.crossJoin(F.broadcast(whole))
-    most = goal.agg(F.min(F.floor(F.col("has") * F.col("all_w") / F.col("w"))).alias("all")) if budget is None else whole.select(F.lit(int(budget)).cast("bigint").alias("all"))
-    goal = goal.crossJoin(F.broadcast(most)).select("src", F.least("has", F.floor(F.col("all") * F.col("w") / F.col("all_w"))).cast("bigint").alias("budget"))
+    whole = totals.agg(F.sum("w").alias("all_w"), F.sum("has").alias("all_has"), F.min(F.col("has") / F.col("w")).alias("scarcest"))
+    most = F.floor(F.col("scarcest") * F.col("all_w"))
+    if budget is not None:
+        most = F.lit(int(budget)).cast("bigint")
+    elif share is not None:
+        most = F.greatest(most, F.floor(F.col("all_has") * float(share)))
+    whole = whole.select("all_has", most.alias("all"))
+    # Tokens for a weight of 1: from the best stocked source on, one row for each source, what is left when all those
+    # with less have given all. It is largest where just the ones that have too little have done so.
+    rich = Window.orderBy(F.desc(F.col("has") / F.col("w")), F.desc("src")).rowsBetween(Window.unboundedPreceding, 0)
+    left = totals.select(F.sum("has").over(rich).alias("has"), F.sum("w").over(rich).alias("w")).crossJoin(F.broadcast(whole))
+    level = left.agg(F.max((F.col("all") - F.col("all_has") + F.col("has")) / F.col("w")).alias("level"))
+    goal = totals.crossJoin(F.broadcast(level)).select("src", F.greatest(F.lit(0), F.least("has", F.floor(F.col("level") * F.col("w") + 1e-6))).cast("bigint").alias("budget"))
 
     def chosen(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("n", ignore_index=True)

@@ -19,10 +19,12 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 #: Parts of the mix by source; sources that aren't named have 1.
 MIX = {"src0": 4.0, "src1": 1.5, "src2": 0.5}
+#: The part of all tokens that the mix has at least, whatever the scarcest source holds.
+MIX_SHARE = 0.45
 
 
 def op1_mixing(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix_sources(_t(spark, d, "documents"), MIX, tokens_out="n_tokens").select("doc_id", "source", "n_tokens")
+    return mixing.mix_sources(_t(spark, d, "documents"), MIX, tokens_out="n_tokens", share=MIX_SHARE).select("doc_id", "source", "n_tokens")
 
 
 def op2_exact_dedup(spark: SparkSession, d: str) -> DataFrame:

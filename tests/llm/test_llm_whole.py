@@ -1,6 +1,10 @@
 """Inputs of which a smaller rule would lose a part."""
 
-from needlebed.llm import html_extract
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from needlebed.llm import html_extract, mixing, queries
 
 
 def texts_of(spark, *pages):
@@ -17,3 +21,23 @@ def test_html_keeps_runs_of_short_paragraphs(spark):
     page = f"<body><nav><ul>{items}</ul></nav><article>%s</article><footer><p>{LINE}</p> <p>{LINE}</p></footer></body>"
     got = texts_of(spark, page % (f"<p>{LINE}</p>" * 1000), page % (f"<div> <p>{LINE}</p>&nbsp;</div>\n" * 9), page % f"<p>{LINE}</p><p>{LINE}</p>")
     assert got == ["\n".join([LINE] * 1000), "\n".join([LINE] * 9), ""]
+
+
+def test_mix_is_not_as_small_as_its_scarcest_source(spark, tmp_path):
+    """One document of a null source and one of a tiny one, beside three that are large."""
+    rows = [(i, " ".join(["w"] * (1 + i % 29)), f"src{i % 3}") for i in range(1500)] + [(9000, "a b c", None), (9001, "a b c d", "tiny")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    has = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in ("src0", "src1", "src2", None, "tiny")}
+    most, n = int(sum(has.values()) * queries.MIX_SHARE), F.size(F.split("text", " "))
+    for got in (queries.op1_mixing(spark, str(tmp_path)), corpus_pipeline.mix(spark, df, "")):
+        if "text" not in got.columns:
+            got = got.join(df.select("doc_id", "text"), "doc_id")
+        sums = {r[0]: r[1] for r in got.groupBy("source").agg(F.sum(n)).collect()}
+        assert most - 5 <= sum(sums.values()) <= most
+        assert (sums[None], sums["tiny"]) == (3, 4) and sums["src1"] == pytest.approx(3 * sums["src2"], abs=3)
+    sums = {r[0]: r[1] for r in mixing.mix_sources(df, {"src0": 100.0}, budget=has["src0"] + 4007).groupBy("source").agg(F.sum(n)).collect()}
+    assert sums == {"src0": has["src0"], "src1": 2000, "src2": 2000, None: 3, "tiny": 4}
+    even = df.where("source LIKE 'src%'")
+    assert sorted(r["doc_id"] for r in mixing.mix_sources(even, share=0.01).collect()) == sorted(r["doc_id"] for r in mixing.mix_sources(even).collect())
+    assert mixing.mix_sources(df, budget=10**9).count() == len(rows) and mixing.mix_sources(df, budget=0).count() == 0
