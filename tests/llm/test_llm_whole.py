@@ -23,6 +23,12 @@ def test_html_keeps_runs_of_short_paragraphs(spark):
     assert got == ["\n".join([LINE] * 1000), "\n".join([LINE] * 9), ""]
 
 
+def test_html_keeps_lists_tables_and_sections_between_text(spark):
+    inner = "<ul><li>one</li><li>two</li><li>three</li></ul>A closing sentence.<table><tr><td>a</td><td>b</td></tr></table><dl><dt>k</dt><dd>v</dd></dl><section><h2>Head</h2><p>Short.</p></section>"
+    page = f"<body><nav>menu</nav><article><p>{LONG}</p>{inner}<p>{LONG}</p></article><footer>end</footer></body>"
+    assert texts_of(spark, page) == ["\n".join([LONG.strip(), "one", "two", "three", "A closing sentence.", "a", "b", "k", "v", "Head", "Short.", LONG.strip()])]
+
+
 def test_mix_is_not_as_small_as_its_scarcest_source(spark, tmp_path):
     """One document of a null source and one of a tiny one, beside three that are large."""
     rows = [(i, " ".join(["w"] * (1 + i % 29)), f"src{i % 3}") for i in range(1500)] + [(9000, "a b c", None), (9001, "a b c d", "tiny")]
