@@ -139,15 +139,13 @@ def build_index(segments: DataFrame, check_every: int = CHECK_EVERY) -> DataFram
 
 
 def backward_search(index: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle", max_needle_bytes: int = 8 << 20) -> DataFrame:
-    """(key, found) by backward search over every shard. The needles, whose size is checked, go to the tasks."""
+    """(key, found) by backward search over every shard. The distinct needles go to the tasks, up to about
+    ``max_needle_bytes`` for one pass over the index; more are searched for in several, which each read ``index``."""
     asked = queries.select(F.col(key), as_bytes(F.col(needle)).alias("__needle"))
-    total = asked.agg(F.sum(F.octet_length("__needle"))).first()[0] or 0
-    if total > max_needle_bytes:
-        raise ValueError(f"{total} bytes of needles; search for at most {max_needle_bytes} at once")
-    needles = [bytes(r[0]) for r in asked.where("__needle IS NOT NULL AND octet_length(__needle) > 0").select("__needle").distinct().collect()]
-    shared = index.sparkSession.sparkContext.broadcast(needles)
+    distinct = asked.where("octet_length(__needle) > 0").select("__needle").distinct()
+    passes = -(-(distinct.agg(F.sum(F.octet_length("__needle"))).first()[0] or 0) // max_needle_bytes)
 
-    def run(batches):
+    def run(batches, shared):
         for batch in batches:
             found = np.zeros(len(shared.value), bool)
             for bwt in batch.column(0):
@@ -155,8 +153,15 @@ def backward_search(index: DataFrame, queries: DataFrame, key: str = "line_no",
                     found |= search_many(shared.value, np.frombuffer(bwt.as_py(), np.uint16))
             yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in np.flatnonzero(found)], pa.binary())], ["__needle"])
 
-    hits = index.select("bwt").mapInArrow(run, "__needle binary").distinct().withColumn("__hit", F.lit(True))
-    return asked.join(hits, "__needle", "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
+    hits = None
+    for g in range(passes):
+        some = distinct if passes == 1 else distinct.where(F.pmod(F.xxhash64("__needle"), F.lit(passes)) == g)
+        shared = index.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in some.collect()])
+        found = index.select("bwt").mapInArrow(lambda it, b=shared: run(it, b), "__needle binary")
+        hits = found if hits is None else hits.unionAll(found)
+    if hits is None:
+        return asked.select(key, F.lit(False).alias("found"))
+    return asked.join(hits.distinct().withColumn("__hit", F.lit(True)), "__needle", "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
 
 
 def symbol_counts(df: DataFrame, key: str, content: str = "content") -> DataFrame:

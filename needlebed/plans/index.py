@@ -163,11 +163,10 @@ class Index:
 
     def batch_backward(self, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
         """(key, found) by backward search over the stored transforms."""
-        out, limit = bwt.backward_search(self._table("bwt"), queries, key, needle), self.max_query_bytes()
-        if not limit:
-            return out
-        fits = queries.select(F.col(key), (F.octet_length(F.col(needle).cast("binary")) <= limit).alias("__fits"))
-        return out.join(fits, key).select(key, (F.col("found") & F.coalesce("__fits", F.lit(False))).alias("found"))
+        limit, asked = self.max_query_bytes(), F.col(needle).cast("binary")
+        if limit:  # a needle that is too long is not searched for
+            asked = F.when(F.octet_length(asked) <= limit, asked)
+        return bwt.backward_search(self._table("bwt"), queries.select(F.col(key), asked.alias("__asked")), key, "__asked")
 
 
 def open_index(spark: SparkSession, path: str) -> Index:

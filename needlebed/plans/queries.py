@@ -263,7 +263,9 @@ def occ_rank(spark, d):
 
 
 def backward_search(spark, d):
-    return bwt.backward_search(bwt.build_index(_sharded(spark, d)), _items(spark, d), "item_id")
+    path = work_path(spark, "bwt")  # stored, since many needles are searched for in several passes
+    bwt.build_index(_sharded(spark, d)).select("bwt").write.parquet(path)
+    return bwt.backward_search(spark.read.parquet(path), _items(spark, d), "item_id")
 
 
 def _built(spark, d) -> str:
