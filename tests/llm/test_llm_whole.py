@@ -29,6 +29,14 @@ def test_html_keeps_lists_tables_and_sections_between_text(spark):
     assert texts_of(spark, page) == ["\n".join([LONG.strip(), "one", "two", "three", "A closing sentence.", "a", "b", "k", "v", "Head", "Short.", LONG.strip()])]
 
 
+def test_html_keeps_pages_whose_head_or_drawing_is_not_closed(spark):
+    head, want = "<html><head><meta charset=utf-8><title>a title</title>\n<style>p{}</style><link rel=x>", LONG.strip()
+    pages = [f"{head}<body><p>{LONG}</p>", f"{head}<p>{LONG}</p>", f"{head}{LONG}", f"{head}</head><body>{LONG}</body>", *[f"{head}<body><{t} a=b>{LONG}" for t in ("noscript", "template", "svg")]]
+    pages += [f"<head><noscript><link></head><p>{LONG}", f"<p>{LONG}</p><svg><text>{LONG}</text></svg><noscript>{LONG}</noscript>", "<head>" + "<meta a=b> " * 50_000 + f"<p>{LONG}"]
+    assert texts_of(spark, *pages) == [want] * len(pages)
+    assert texts_of(spark, f"<p>x</p><script>{LONG}", f"<!-- {LONG}") == ["", ""]
+
+
 def test_mix_is_not_as_small_as_its_scarcest_source(spark, tmp_path):
     """One document of a null source and one of a tiny one, beside three that are large."""
     rows = [(i, " ".join(["w"] * (1 + i % 29)), f"src{i % 3}") for i in range(1500)] + [(9000, "a b c", None), (9001, "a b c d", "tiny")]
