@@ -59,6 +59,11 @@ def _stored(spark, d) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def _long_in_docs(spark, d) -> DataFrame:
+    """(item_id, found) of the needles that chunks don't overlap enough for, in whole documents."""
+    return search.batch_contains(_spread(_docs(spark, d)), _items(spark, d).where(F.octet_length("needle") > MAXQ), "item_id")
+
+
 def contains_literal(spark, d):
     """One pass for all: a maximum over the rows for each literal."""
     one = _docs(spark, d).agg(*[F.coalesce(F.max(bf.found_in(F.col("content"), F.lit(bytearray(s.encode())))), F.lit(False)).alias(f"c{i}") for i, s in enumerate(LITERALS)])
@@ -215,9 +220,11 @@ def prefilter_route(spark, d):
 
 
 def raw_verify(spark, d):
-    """Candidates by the 8-gram filter, then the bytes."""
+    """Candidates by route, then the bytes; needles over MAXQ in whole documents."""
     segs, items = _stored(spark, d), _items(spark, d)
-    hits = grams.verify(segs, grams.ngram_candidates(grams.ngram_filter_bits(segs), items, "item_id"), items, "item_id").withColumn("hit", F.lit(True))
+    short = items.where(F.octet_length("needle") <= MAXQ)
+    hits = grams.verify(segs, grams.candidates(segs, grams.trigram_index(segs), grams.ngram_filter_bits(segs), short, "item_id"), short, "item_id")
+    hits = hits.unionByName(_long_in_docs(spark, d).where("found").select("item_id")).withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
@@ -265,7 +272,8 @@ def occ_rank(spark, d):
 def backward_search(spark, d):
     path = work_path(spark, "bwt")  # stored, since many needles are searched for in several passes
     bwt.build_index(_sharded(spark, d)).select("bwt").write.parquet(path)
-    return bwt.backward_search(spark.read.parquet(path), _items(spark, d), "item_id")
+    short = _items(spark, d).where(F.coalesce(F.octet_length("needle") <= MAXQ, F.lit(True)))
+    return bwt.backward_search(spark.read.parquet(path), short, "item_id").unionByName(_long_in_docs(spark, d))
 
 
 def _built(spark, d) -> str:
