@@ -17,6 +17,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from needlebed.llm.common import need
 
@@ -69,7 +70,9 @@ def write_monolithic(pages: DataFrame, out_dir: str, id_col: str = "page_id", ur
     """Write one WARC file for each partition of ``pages``, each compressed as a single stream; return (file, records).
 
     A null page has no record; a null address gives a record without one. An empty partition writes an empty file.
-    Repeated rows are repeated records. The files are written when the result is first used.
+    Repeated rows, and pages of equal ids, are records each. A page's bytes are written as they are, UTF-8 or not; bytes
+    of an address that aren't UTF-8 become U+FFFD. A very long page is one record, compressed as it stands in memory.
+    Other columns, whatever their names, aren't read. The files are written when the result is first used.
     """
     need(pages, id_col, url_col, html_col)
 
@@ -78,15 +81,18 @@ def write_monolithic(pages: DataFrame, out_dir: str, id_col: str = "page_id", ur
         with Replacing(file) as out:
             z = zlib.compressobj(level, zlib.DEFLATED, 31)
             for batch in batches:
-                for key, url, html in zip(*(c.to_pylist() for c in batch.columns)):
-                    if html is not None:
-                        body = html.encode()
-                        out.write(z.compress(record_head(f"urn:page:{key}", url, len(body)) + body + b"\r\n\r\n"))
+                for key, url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    body = html.as_py()
+                    if body is not None:
+                        url = None if url is None else url.decode(errors="replace")
+                        for piece in (record_head(f"urn:page:{key}", url, len(body)), body, b"\r\n\r\n"):
+                            out.write(z.compress(piece))
                         n += 1
             out.write(z.flush())
         yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64())], ["file", "records"])
 
-    return pages.select(id_col, url_col, html_col).mapInArrow(run, "file string, records bigint")
+    rows = pages.select(F.col(id_col), F.col(url_col).cast("binary"), F.col(html_col).cast("binary"))
+    return rows.mapInArrow(run, "file string, records bigint")
 
 
 def inflated(stream):
@@ -112,67 +118,81 @@ def inflated(stream):
 
 
 class Pieces:
-    """Reads lines and runs of bytes off an iterator of pieces."""
+    """Reads lines and runs of bytes off an iterator of pieces, by a cursor into the piece that is held."""
 
     def __init__(self, pieces):
-        self.pieces, self.held = pieces, b""
+        self.pieces, self.held, self.at = pieces, b"", 0
 
     def more(self) -> bool:
         piece = next(self.pieces, b"")
-        self.held += piece
+        if piece:
+            self.held, self.at = self.held[self.at :] + piece if self.at < len(self.held) else piece, 0
         return bool(piece)
 
     def line(self) -> bytes | None:
-        """The next line with its end; None at the end of the data, a line that breaks off included."""
-        while (at := self.held.find(b"\n")) < 0:
+        """The next line with its end, of one of more than CHUNK bytes a part; None at the end of the data, a line
+        that breaks off included."""
+        seen = 0
+        while (end := self.held.find(b"\n", self.at + seen)) < 0:
+            seen = len(self.held) - self.at
+            if seen > CHUNK:
+                end = len(self.held) - 1
+                break
             if not self.more():
                 return None
-        line, self.held = self.held[: at + 1], self.held[at + 1 :]
+        line, self.at = self.held[self.at : end + 1], end + 1
         return line
 
     def run(self, n: int):
         while n:
-            if not self.held and not self.more():
+            if self.at == len(self.held) and not self.more():
                 raise EOFError
-            piece, self.held = self.held[:n], self.held[n:]
+            piece = self.held[self.at : self.at + n]
+            self.at += len(piece)
             n -= len(piece)
             yield piece
 
 
-def parse_head(source: Pieces) -> tuple[bytes, dict[str, str]] | None:
-    """The next record's header, as it stands and by lower-case name; None at the end of the data."""
+def parse_head(source: Pieces) -> tuple[bytes, dict[str, str], int] | None:
+    """The next record's header, as it stands and by lower-case name, and the bytes of its block; None at the end of
+    the data. What doesn't begin with a WARC version, and a header whose Content-Length isn't a number, are passed
+    over up to the next line that begins with one."""
     line = source.line()
-    while line is not None and not line.strip():
-        line = source.line()
-    if line is None:
-        return None
-    if not line.startswith(b"WARC/"):
-        raise ValueError(f"no WARC record begins with {line[:60]!r}")
-    raw, fields = line, {}
-    while (line := source.line()) is not None:
-        raw += line
-        if not line.strip():
-            return raw, fields
-        name, _, value = line.decode(errors="replace").partition(":")
-        fields[name.strip().lower()] = value.strip()
+    while line is not None:
+        if not line.startswith(b"WARC/"):
+            line = source.line()
+            continue
+        raw, fields = [line], {}
+        while (line := source.line()) is not None and not line.startswith(b"WARC/"):
+            raw.append(line)
+            if not line.strip():
+                break
+            name, _, value = line.decode(errors="replace").partition(":")
+            fields[name.strip().lower()] = value.strip()
+        if line is not None and not line.strip() and re.fullmatch("[0-9]{1,18}", size := fields.get("content-length", "")):
+            return b"".join(raw), fields, int(size)
     return None
 
 
 def normalise_stream(stream, out, file: str, level: int = LEVEL) -> list[dict]:
-    """Rewrite one file, a member for each record; return its index. A last record that breaks off is left out."""
+    """Rewrite one file, a member for each record; return its index.
+
+    A last record that breaks off is left out of the index; what was written of a long one lies unused behind the last
+    member. A header without a usable Content-Length, and anything between records that is no header, is passed over.
+    """
     source, index, at = Pieces(inflated(stream)), [], 0
     while (head := parse_head(source)) is not None:
-        raw, fields = head
-        size, sha, z = int(fields["content-length"]), hashlib.sha256(), zlib.compressobj(level, zlib.DEFLATED, 31)
+        raw, fields, size = head
+        sha, z = hashlib.sha256(), zlib.compressobj(level, zlib.DEFLATED, 31)
         member = [z.compress(raw)]
-        written = 0
+        written = held = 0
         try:
             for piece in source.run(size):
                 sha.update(piece)
                 member.append(z.compress(piece))
-                if (n := sum(map(len, member))) > CHUNK and size > CHUNK:
+                if (held := held + len(member[-1])) > CHUNK:
                     out.write(b"".join(member))
-                    written, member = written + n, []
+                    written, held, member = written + sum(map(len, member)), 0, []
         except EOFError:
             break
         member += [z.compress(b"\r\n\r\n"), z.flush()]
@@ -191,7 +211,8 @@ def normalise(files: DataFrame, out_dir: str, file_col: str = "file", level: int
 
     A file is one task's work; null names are left out, names that repeat are one file. Two files of the same base
     name in different folders would meet in ``out_dir``, so that is an error. Executors that are lost only cost their
-    task's time: a file appears under its name when it is whole.
+    task's time: a file appears under its name when it is whole. Files are streamed, records of any length too; empty
+    files and damaged headers are as ``normalise_stream`` says. Other columns, whatever their names, aren't read.
     """
     need(files, file_col)
     spark = files.sparkSession
@@ -223,23 +244,40 @@ def read_index(spark: SparkSession, out_dir: str) -> DataFrame:
 
 def read_records(index: DataFrame) -> DataFrame:
     """(record_id, target_uri, block) of the records in ``index``, each read by its offset and length alone. Rows of the
-    index that repeat are read again. A block that doesn't have its digest is an error."""
+    index that repeat are read again; an empty index gives no rows; a record without address has a null one. A block that
+    doesn't have its digest is an error. A task holds one record at a time beside the batch that it gives back. Other
+    columns of ``index`` aren't read."""
 
     def run(batches):
-        opened: tuple[str, object] | None = None
-        for batch in batches:
-            got = []
-            for file, offset, length, want in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "block_sha256"))):
-                if opened is None or opened[0] != file:
-                    fs, path = filesystem(file)
-                    opened = (file, fs.open_input_file(path))
-                opened[1].seek(offset)
-                source = Pieces(inflated(io.BytesIO(opened[1].read(length))))
-                _, fields = parse_head(source)
-                block = b"".join(source.run(int(fields["content-length"])))
-                if hashlib.sha256(block).hexdigest() != want:
-                    raise ValueError(f"{file} at {offset}: the block isn't the one that was indexed")
-                got.append((fields.get("warc-record-id", "").strip("<>"), fields.get("warc-target-uri"), block))
-            yield pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["record_id", "target_uri", "block"])
+        name, stream = None, None
+        try:
+            for batch in batches:
+                got, held = [], 0
+                for file, offset, length, want in zip(*(batch.column(c).to_pylist() for c in ("file", "offset", "length", "block_sha256"))):
+                    if name != file:
+                        if stream is not None:
+                            stream.close()
+                        fs, path = filesystem(file)
+                        name, stream = file, fs.open_input_file(path)
+                    stream.seek(offset)
+                    source = Pieces(inflated(io.BytesIO(stream.read(length))))
+                    head = parse_head(source)
+                    block = b"".join(source.run(head[2])) if head else None
+                    if block is None or hashlib.sha256(block).hexdigest() != want:
+                        raise ValueError(f"{file} at {offset}: the block isn't the one that was indexed")
+                    got.append((head[1].get("warc-record-id", "").strip("<>"), head[1].get("warc-target-uri"), block))
+                    if (held := held + len(block)) > 8 * CHUNK:
+                        yield _records(got)
+                        got, held = [], 0
+                if got:
+                    yield _records(got)
+        finally:
+            if stream is not None:
+                stream.close()
 
     return index.select("file", "offset", "length", "block_sha256").mapInArrow(run, "record_id string, target_uri string, block binary")
+
+
+def _records(got: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.string(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([g[i] for g in got], t) for i, t in enumerate(kinds)], ["record_id", "target_uri", "block"])

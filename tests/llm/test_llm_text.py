@@ -234,6 +234,24 @@ def test_warc_streams(form):
     assert parts == (records[:2] if form == "cut off" else records)
 
 
+def test_warc_passes_over_damaged_headers():
+    good = [warc.record_head(f"urn:{i}", "u", 3) + b"abc\r\n\r\n" for i in range(3)]
+    bad = [b"no header\n", b"WARC/1.0\r\nWARC-Type: x\r\n\r\nbody\r\n", b"WARC/1.0\r\nContent-Length: -4\r\n\r\nbody\r\n", b"WARC/1.0\r\nContent-Length: four\r\n", b"x" * 3_000_000 + b"\n"]
+    data = bad[0] + good[0] + bad[1] + bad[2] + good[1] + bad[3] + good[2] + bad[4] + b"WARC/1.0\r\nContent-Len"
+    out = io.BytesIO()
+    index = warc.normalise_stream(io.BytesIO(gzip.compress(data)), out, "f")
+    assert [r["record_id"] for r in index] == ["urn:0", "urn:1", "urn:2"]
+    assert [gzip.decompress(out.getvalue()[r["offset"] : r["offset"] + r["length"]]) for r in index] == good
+    assert warc.normalise_stream(io.BytesIO(b""), io.BytesIO(), "f") == []
+
+
+def test_warc_keeps_bytes_that_are_no_text(spark, tmp_path):
+    pages = spark.sql("SELECT 1L AS page_id, cast(unhex('61ff62') AS string) AS url, cast(unhex('00ff80') AS string) AS html")
+    index = warc.normalise(warc.write_monolithic(pages, f"file://{tmp_path}/w"), f"file://{tmp_path}/m")
+    got = warc.read_records(index).first()
+    assert (bytes(got["block"]), got["target_uri"]) == (b"\x00\xff\x80", "a\ufffdb")
+
+
 # HTML.
 
 
