@@ -74,7 +74,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, k: int) -> Dat
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([set_id(sets[i]) for i in full]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], ["id", "th", "eid", "sketch"])
 
     schema = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("eid", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def union_estimate(a: np.ndarray, b: np.ndarray, k: int = K) -> float:
@@ -232,7 +232,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def sets_of(asked: DataFrame, rows: int) -> DataFrame:
         keys = small_enough(inside.join(small_enough(asked.select("eid").distinct(), rows, 16), "eid", "left_semi").select(F.col("key").alias("__key")), min(rows, n_some), 48)
-        texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).alias("__text")).join(keys, "__key", "left_semi")
+        texts = docs.select(id_key(F.col(id_col)).alias("__key"), F.col(text_col).cast("binary").alias("__text")).join(keys, "__key", "left_semi")
         return texts.select("__text").mapInArrow(whole, "eid bigint, v array<bigint>")
 
     # Each set against the hub that it meets in most lists: a hub is the smallest set of a list.

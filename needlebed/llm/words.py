@@ -33,12 +33,13 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def stretches(column, most_chars: int):
-    """(first row, texts) of stretches of an Arrow column that hold about so many characters; nulls are empty texts."""
+    """(first row, texts) of stretches of a binary Arrow column that hold about so many characters; nulls are empty
+    texts, and what isn't UTF-8 becomes U+FFFD."""
     start = 0
     while start < len(column):
         part, chars = [], 0
         while start + len(part) < len(column) and chars < most_chars:
-            part.append(column[start + len(part)].as_py() or "")
+            part.append((column[start + len(part)].as_py() or b"").decode(errors="replace"))
             chars += len(part[-1])
         yield start, part
         start += len(part)
