@@ -30,10 +30,11 @@ for _c in range(256):
     _CLASS[_c] = [(_s.isascii() and _s.isalpha()) or _c >= 128, "A" <= _s <= "Z", "0" <= _s <= "9", _s in "#$%&*+/<=>@[\\]^_`{}~", _s in ".,;:?", _s == "!", _s == "|"]
 
 
-def features(text: str | None) -> list[float]:
-    """The features of a whole text, in the order of FEATURES. A null text counts as the empty one."""
-    text = text or ""
-    raw = text.encode(errors="replace")
+def features(raw: bytes | None) -> list[float]:
+    """The features of a whole text, in the order of FEATURES. A null text counts as the empty one, and what isn't UTF-8
+    as U+FFFD."""
+    raw = raw or b""
+    text = raw.decode(errors="replace")
     n = max(1, len(raw))
     counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _CLASS
     words, lines = text.split(), [x for x in text.split("\n") if x]
@@ -138,8 +139,13 @@ def train(x: np.ndarray, y: np.ndarray) -> Model:
     return model
 
 
+def _featured(texts: pd.Series) -> np.ndarray:
+    return np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))
+
+
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", train_rows: int = TRAIN_ROWS, seed: int = SEED) -> Model:
-    """A model of ``label_col`` (0 or 1), trained on at most ``train_rows`` labelled documents.
+    """A model of ``label_col`` (0 or 1), trained on at most ``train_rows`` labelled documents, those with the smallest
+    seeded hash of the id and then of the text.
 
     Labels with a null id or value are left out; an id with several labels has the smallest. Documents whose id repeats
     are each a case. With no labelled document the model gives every text the same score, one half.
@@ -151,30 +157,33 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     @F.pandas_udf("array<double>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t) for t in texts])
+        return pd.Series(list(_featured(texts)))
 
-    # At most train_rows pairs of numbers are broadcast.
-    cases = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id").select("y", of("text").alias("x"))
-    got = cases.toPandas()
+    # At most train_rows pairs of numbers are broadcast, and at most as many cases come back, however often ids repeat.
+    pairs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(some), "id")
+    cases = pairs.select("y", F.xxhash64(F.lit(seed), "id").alias("h"), F.xxhash64("text").alias("t"), of.asNondeterministic()(F.col("text").cast("binary")).alias("x"))
+    got = cases.orderBy("h", "t", "y").limit(train_rows).select("y", "x").toPandas()
     x = np.array(got["x"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return train(x, got["y"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, model: Model, text_col: str = "text", out_col: str | None = None) -> DataFrame:
     """``docs`` with the probability of good quality in ``out_col`` (``quality_score``, with underscores in front where
-    ``docs`` has it). Null and empty texts are scored as the empty text. Whole texts are read."""
+    ``docs`` has it). Null and empty texts are scored as the empty text, bytes that aren't UTF-8 as U+FFFD. Whole texts are
+    read, once each: the function is marked as not deterministic, so that a filter on the score isn't a second call."""
     need(docs, text_col)
 
     @F.pandas_udf("double")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts], np.float64).reshape(len(texts), len(FEATURES))))
+        return pd.Series(model.score(_featured(texts)))
 
-    return docs.withColumn(out_col or fresh(docs, "quality_score")[0], of(F.col(text_col)))
+    return docs.withColumn(out_col or fresh(docs, "quality_score")[0], of.asNondeterministic()(F.col(text_col).cast("binary")))
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT, out_col: str | None = None, **kw) -> DataFrame:
     """The rows of ``docs`` whose score is at least ``accept``, with its columns and, if it is named, ``out_col``. Each
-    row is judged by its text alone, so repeated rows stay or go together. An empty table gives an empty table."""
+    row is judged by its text alone, so repeated rows and equal texts stay or go together, and a score of just ``accept``
+    stays. Null, empty and very long texts are judged as ``score_quality`` says. An empty table gives an empty table."""
     name = out_col or fresh(docs, "quality_score")[0]
     kept = score_quality(docs, fit_quality(docs, labels, **kw), kw.get("text_col", "text"), name).where(F.col(name) >= accept)
     return kept if out_col else kept.select(*docs.columns)
