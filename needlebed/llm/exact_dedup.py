@@ -17,42 +17,86 @@ from needlebed.llm.common import fresh, id_key, need, work_path
 
 
 class DigestIndex:
-    """Digests seen so far, under ``path``: ``data`` holds (digest BINARY, id_key STRING, batch STRING).
+    """Digests seen so far, under ``path``: ``data`` holds (digest BINARY, id_key STRING, batch STRING) in parts, bucketed
+    and sorted by digest; ``log/<n>`` says which parts count and in which part each batch is.
 
-    ``buckets`` counts when the index is made; an existing index keeps its own. Choose it so that a bucket fits a
-    task: some 64 bytes a document, so 10 000 buckets for 10^10 documents.
+    Only what the newest log entry names is ever read, so a part that a lost driver left half written is nothing, and
+    the batch is written anew when it is run again. ``buckets`` counts when the index is made; an existing index keeps
+    its own. Choose it so that a bucket fits a task: some 64 bytes a document, so 10 000 buckets for 10^10 documents.
+    One writer at a time; a second one fails at the log entry that the first has written.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
         self.name = "digest_index_" + re.sub(r"\W", "_", uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex)
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        meta = jvm.org.apache.hadoop.fs.Path(f"{self.path}/meta")
-        if meta.getFileSystem(conf).exists(meta):
-            buckets = json.loads(spark.read.text(f"{self.path}/meta").first()[0])["buckets"]
-        else:
-            spark.createDataFrame([(json.dumps({"buckets": buckets}),)], "value string").coalesce(1).write.text(f"{self.path}/meta")
-        self.buckets = buckets
+        self.fs = self._at("").getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if self._version() is None:
+            self._log(0, {"buckets": int(buckets), "batches": {}})
+        self.buckets = self._state()["buckets"]
         spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, id_key STRING, batch STRING) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{self.path}/data'"
+            f"CREATE TABLE IF NOT EXISTS {self.name} (digest BINARY, id_key STRING, batch STRING, part STRING) USING parquet "
+            f"PARTITIONED BY (part) CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/data'"
         )
+        if self.fs.exists(self._at("data")):
+            spark.sql(f"MSCK REPAIR TABLE {self.name}")
+
+    def _at(self, name: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _version(self) -> int | None:
+        """The number of the newest log entry."""
+        log = self._at("log")
+        names = [f.getPath().getName() for f in self.fs.listStatus(log)] if self.fs.exists(log) else []
+        return max((int(n) for n in names if n.isdigit()), default=None)
+
+    def _state(self) -> dict:
+        return json.loads("".join(r[0] for r in self.spark.read.text(f"{self.path}/log/{self._version()}").collect()))
+
+    def _log(self, version: int, state: dict) -> None:
+        """A log entry, whole or not at all: written under another name, renamed where there is none of that number."""
+        whole, part = self._at(f"log/{version}"), self._at(f"log/part-{uuid.uuid4().hex}")
+        out = self.fs.create(part)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if self.fs.exists(whole) or not self.fs.rename(part, whole):
+            self.fs.delete(part, False)
+            raise RuntimeError(f"{self.path}: another writer has made log entry {version}")
+
+    def _rows(self, state: dict, batch: str | None = None) -> DataFrame:
+        parts = [state["batches"][batch]] if batch else sorted(set(state["batches"].values()))
+        rows = self.spark.table(self.name).where(F.col("part").isin(parts) if parts else F.lit(False))
+        return rows.where(F.col("batch") == batch) if batch else rows
 
     def rows(self) -> DataFrame:
-        return self.spark.table(self.name)
+        """(digest, id_key, batch) of all batches that are whole."""
+        return self._rows(self._state()).select("digest", "id_key", "batch")
+
+    def _write(self, rows: DataFrame, version: int, state: dict, batches: list[str]) -> None:
+        part = uuid.uuid4().hex
+        rows = rows.select("digest", "id_key", "batch").repartition(self.buckets, "digest").withColumn("part", F.lit(part))
+        rows.write.insertInto(self.name)
+        self.spark.catalog.refreshTable(self.name)
+        self._log(version + 1, state | {"batches": state["batches"] | dict.fromkeys(batches, part)})
 
     def append_new(self, candidates: DataFrame, batch: str) -> DataFrame:
         """Append those (digest, id_key) whose digest is new, as ``batch``; return what the batch holds.
 
-        A batch that is there already is left alone: running it again gives the same result.
+        A batch that is there already is left alone: running it again gives the same result. One whose run broke off
+        isn't there, whatever it has written.
         """
-        index = self.rows()
-        if index.where(F.col("batch") == batch).isEmpty():
-            new = candidates.join(index.select("digest").hint("merge"), "digest", "left_anti")
-            new = new.repartition(self.buckets, "digest").withColumn("batch", F.lit(batch))
-            new.select("digest", "id_key", "batch").write.insertInto(self.name)
-            self.spark.catalog.refreshTable(self.name)
-        return self.rows().where(F.col("batch") == batch).select("digest", "id_key")
+        version, state = self._version(), self._state()
+        if batch not in state["batches"]:
+            new = candidates.join(self._rows(state).select("digest").hint("merge"), "digest", "left_anti")
+            self._write(new.withColumn("batch", F.lit(batch)), version, state, [batch])
+            state = self._state()
+        return self._rows(state, batch).select("digest", "id_key")
+
+    def compact(self) -> None:
+        """Put all batches into one part, a sorted file for each bucket, so that a join needs no sort of the index.
+        Parts that no longer count stay where they are until they are deleted from outside, for readers under way."""
+        version, state = self._version(), self._state()
+        if len(set(state["batches"].values())) > 1:
+            self._write(self._rows(state), version, state, list(state["batches"]))
 
 
 def text_digest(text: str = "text"):
@@ -64,7 +108,8 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
     Of rows with equal text the one with the smallest ``id_col`` stays; of rows with equal text and equal id, any one
     (the first in the order of the other columns cast to string). Null ids come after all others. A null text has no
-    content to compare: such rows all stay and don't enter the index. The empty text is a text like any other. An
+    content to compare: such rows all stay and don't enter the index. The empty text is a text like any other, and so
+    is a very long one, of which only the digest is compared; bytes that aren't UTF-8 are compared as they are. An
     empty table gives an empty table. Columns of ``docs`` named like our own are kept apart and come back unchanged.
     """
     need(docs, id_col, text_col)

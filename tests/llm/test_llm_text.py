@@ -53,6 +53,38 @@ def test_exact_dedup_batch_is_idempotent(spark, tmp_path):
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
 
 
+def test_exact_dedup_loses_nothing_when_a_batch_broke_off(spark, tmp_path, monkeypatch):
+    """A run that wrote a part of its digests, or all, and died before the log entry; then the batch again, and others."""
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    docs, log = docs_of(spark, [f"t{i}" for i in range(20)]), exact_dedup.DigestIndex._log
+
+    def dies(self, version, state):
+        raise KeyboardInterrupt
+
+    for some in (docs.limit(5), docs):
+        monkeypatch.setattr(exact_dedup.DigestIndex, "_log", dies)
+        with pytest.raises(KeyboardInterrupt):
+            exact_dedup.exact_dedup(some, index, batch="one")
+        monkeypatch.setattr(exact_dedup.DigestIndex, "_log", log)
+    assert index.rows().count() == 0
+    assert ids(exact_dedup.exact_dedup(docs, index, batch="one")) == list(range(20)) == ids(exact_dedup.exact_dedup(docs, index, batch="one"))
+    again = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index")
+    assert ids(exact_dedup.exact_dedup(docs_of(spark, ["t3", "new"]), again, batch="two")) == [1]
+
+
+def test_exact_dedup_reads_the_parts_of_its_batch_and_compacts(spark, tmp_path):
+    index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", buckets=2)
+    for name, texts in (("one", ["a", "b"]), ("two", ["b", "c"]), ("three", ["d"])):
+        exact_dedup.exact_dedup(docs_of(spark, texts), index, batch=name)
+    text = plan(index._rows(index._state(), "two"))
+    assert "PartitionFilters: [" in text and "part#" in text.split("PartitionFilters: [")[1].split("]")[0]
+    before = sorted(map(tuple, index.rows().collect()))
+    index.compact()
+    assert sorted(map(tuple, index.rows().collect())) == before and len(set(index._state()["batches"].values())) == 1
+    assert ids(exact_dedup.exact_dedup(docs_of(spark, ["b", "c"]), index, batch="two")) == [1]
+    assert ids(exact_dedup.exact_dedup(docs_of(spark, ["d", "e"]), index, batch="four")) == [1]
+
+
 def test_exact_dedup_repeated_rows_null_ids_and_clashing_names(spark):
     rows = [(1, "t", 5), (1, "t", 5), (1, "t", 4), (None, "u", 1), (None, "u", 1), (7, "u", 1)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, digest int").withColumn("rn", F.lit("r")).withColumn("ID_KEY", F.lit(0))
@@ -269,19 +301,18 @@ def test_html_keeps_the_article_only(spark):
 # Language model.
 
 
-def test_lm_learns_and_scores(spark):
-    rnd = random.Random(2)
-    follows = {w: rnd.choices(WORDS, k=3) for w in WORDS}
+def walk(seed, n=120):
+    follows = {w: random.Random(w).choices(WORDS, k=3) for w in WORDS}
+    rnd, w, out = random.Random(seed), WORDS[seed % 400], []
+    for _ in range(n):
+        out.append(w)
+        w = rnd.choice(follows[w])
+    return " ".join(out)
 
-    def walk(seed, n=120):
-        rnd, w, out = random.Random(seed), WORDS[seed % 400], []
-        for _ in range(n):
-            out.append(w)
-            w = rnd.choice(follows[w])
-        return " ".join(out)
 
+def test_lm_learns_and_scores(spark):
     train = docs_of(spark, [walk(i) for i in range(800)]).repartition(2)
-    model = lm.train_lm(train, rounds=2)
+    model = lm.train_lm(train)
     held = docs_of(spark, [walk(i) for i in range(1000, 1040)] + [prose(i, 120) for i in range(40)] + ["", None, "solo"])
     got = {r["doc_id"]: r for r in lm.score_lm(held, model).collect()}
     walked, random_text = (np.mean([-got[i]["log_prob"] / got[i]["n_tokens"] for i in r]) for r in (range(40), range(40, 80)))
@@ -290,31 +321,116 @@ def test_lm_learns_and_scores(spark):
     assert got[82]["n_tokens"] == 1 and got[82]["perplexity"] > 1
 
 
+def test_lm_does_not_depend_on_partitions(spark, monkeypatch):
+    for name, value in (("FEW_WORDS", 100), ("FAN", 2)):
+        monkeypatch.setattr(lm, name, value)
+    docs, held = docs_of(spark, [walk(i) for i in range(300)]), docs_of(spark, [walk(i) for i in range(1000, 1020)])
+    got = [np.array([r["perplexity"] for r in lm.score_lm(held, lm.train_lm(docs.repartition(n), max_bits=11)).orderBy("doc_id").collect()]) for n in (1, 4, 32)]
+    assert np.allclose(got[0], got[1], rtol=1e-9) and np.allclose(got[0], got[2], rtol=1e-9)
+
+
+def rows_by_hand(model, words, i):
+    """Weight rows of word i of a text, by level and feature, and what is chosen there, in whole numbers."""
+    m64, w = (1 << 64) - 1, model.width
+
+    def mixed(h):
+        h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 & m64
+        h = (h ^ h >> 27) * 0x94D049BB133111EB & m64
+        return h ^ h >> 31
+
+    a, b, c = (words[i - k][0] if i >= k else 1 << 32 for k in (1, 2, 3))
+    pair = int(lm._PAIR)
+    hashed = [mixed((f + 1) * int(s) & m64) for f, s in zip((a, a * pair + b, b, a * pair + c), lm._SALT)]
+    y = words[i][1]
+    for level, (choice, prefix) in enumerate(((y // w // w, None), (y // w % w, y // w // w), (y % w, y // w))):
+        salt = level * int(lm._SALT[1]) if prefix is None else (prefix + (level << 32)) * int(lm._PREFIX) & m64
+        yield level, choice, prefix or 0, [(h ^ salt) * int(lm._ROW) % (1 << 64) >> 64 - model.bits for h in hashed]
+
+
+def chances(model, level, prefix, rows):
+    x = model.bias[level][prefix].astype(float) + sum(model.weights[level][r].astype(float) for r in rows)
+    return np.exp(x) / np.exp(x).sum()
+
+
+def test_lm_training_against_brute_force(spark, monkeypatch):
+    """Round by round, word by word: softmaxes, observed and expected counts, steps. With many draws the expected counts
+    are the sums of the probabilities."""
+    monkeypatch.setattr(lm, "DRAWS", 200)
+    texts = [walk(i, 5 + i % 30) for i in range(60)] + ["", None, "a", walk(3, 8)]
+    docs, rounds = docs_of(spark, texts), (1, 2, 3)
+    got = lm.train_lm(docs, max_width=9, max_bits=10, rounds=rounds)
+    word, starts = lm.short_hashes([t or "" for t in texts])
+    seen = Counter(word.tolist())
+    top = sorted((w for w in seen if seen[w] > 1), key=lambda w: (-seen[w], w))
+    model = lm.new_model(np.array(top, np.uint32), np.array([seen[w] for w in top]), len(word), got.width, got.bits)
+    assert np.array_equal(model.known, got.known) and np.array_equal(model.outcome, got.outcome) and all(np.allclose(a, b) for a, b in zip(model.bias, got.bias))
+    of_doc = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("text"), F.lit(6))).collect()}
+    outcomes = model.outcomes(word).tolist()
+    for edges in ((0,), (1, 2), (3, 4, 5)):
+        counts = np.zeros((2, 3, 1 << model.bits, model.width))
+        for d in range(len(texts)):
+            if of_doc[d] in edges and texts[d]:
+                words = list(zip(word[starts[d] : starts[d + 1]].tolist(), outcomes[starts[d] : starts[d + 1]]))
+                for i in range(len(words)):
+                    for level, y, prefix, rows in rows_by_hand(model, words, i):
+                        p = chances(model, level, prefix, rows)
+                        for r in rows:
+                            counts[0, level, r, y] += 1
+                            counts[1, level, r] += p
+        for level in range(3):
+            model.weights[level] += (lm.STEP * np.log((counts[0, level] + lm.SMOOTH) / (counts[1, level] + lm.SMOOTH))).astype(np.float32)
+    assert all(np.abs(a - b).max() < 0.01 and np.abs(a).max() > 0.05 for a, b in zip(model.weights, got.weights))
+
+
+def test_lm_packs_counts():
+    for x in (np.zeros(6, np.int32), np.array([1, 70_000, 0, 3], np.int32), np.array([1, 5 << 33], np.int64)):
+        assert np.array_equal(lm.unpacked(lm.packed(x), len(x)), x)
+
+
+def test_lm_draws_are_the_distribution():
+    word, starts = lm.short_hashes([prose(i, 400) for i in range(40)])
+    model = lm.new_model(np.unique(word), np.arange(len(np.unique(word)))[::-1] + 1, 90_000, width=8, bits=10)
+    sums = lm.Counts(model)
+    sums.add(word, model.outcomes(word), starts)
+    drawn = sums.expected[0].reshape(-1, 8).sum(0) / sums.expected[0].sum()
+    assert np.allclose(drawn, np.exp(model.bias[0][0]), atol=0.005) and sums.expected[0].sum() == lm.DRAWS * sums.observed[0].sum() == lm.DRAWS * 4 * len(word)
+
+
 def test_lm_scores_by_hand():
     """The batch scores are those of softmaxes worked out word by word."""
     rnd = np.random.default_rng(1)
-    word, starts = word_hashes([prose(1, 9), "", prose(2, 4)])
-    model = lm.new_model(np.unique(word)[:6])
-    model.of_class[:] = rnd.normal(size=model.of_class.shape)
-    model.of_word[:] = rnd.normal(size=model.of_word.shape)
+    word, starts = lm.short_hashes([prose(1, 9), "", prose(2, 4)])
+    model = lm.new_model(np.unique(word)[:6], width=8, bits=10)
+    for w in model.weights:
+        w[:] = rnd.normal(size=w.shape)
     outcomes = model.outcomes(word)
-    cls, member, by_class, by_word = lm.rows_of(outcomes, starts)
-    for i, got in enumerate(lm.log_probs(model, outcomes, starts)):
-        a, b = sum(model.of_class[r[i]] for r in by_class), sum(model.of_word[r[i]] for r in by_word)
-        want = a[cls[i]] - np.log(np.exp(a).sum()) + b[member[i]] - np.log(np.exp(b).sum())
-        assert abs(got - want) < 1e-4
-    apart = lm.log_probs(model, model.outcomes(word[9:]), np.array([0, 4]))
-    assert np.allclose(apart, lm.log_probs(model, outcomes, starts)[9:], atol=1e-5)
+    got, want = lm.log_probs(model, word, outcomes, starts), []
+    for a, b in zip(starts, starts[1:]):
+        words = list(zip(word[a:b].tolist(), outcomes[a:b].tolist()))
+        want += [sum(np.log(chances(model, level, prefix, rows)[y]) for level, y, prefix, rows in rows_by_hand(model, words, i)) for i in range(len(words))]
+    assert np.allclose(got, want, atol=1e-4)
+    assert np.allclose(lm.log_probs(model, word[9:], outcomes[9:], np.array([0, 4])), got[9:], atol=1e-5)
+
+
+def test_lm_works_in_blocks(monkeypatch):
+    word, starts = lm.short_hashes([prose(1, 50), "a", prose(2, 70), "b c"])
+    model = lm.new_model(np.unique(word), width=8, bits=10)
+    for i, w in enumerate(model.weights):
+        w[:] = np.random.default_rng(i).normal(size=w.shape)
+    args = word, model.outcomes(word), starts
+    want = lm.log_probs(model, *args)
+    monkeypatch.setattr(lm, "BLOCK", 2)
+    assert np.allclose(lm.log_probs(model, *args), want, atol=1e-6)
 
 
 def test_lm_counts_and_no_words(spark):
     texts = [prose(i, 50) for i in range(30)] + [None, ""]
     want = Counter(w for t in texts if t for w in t.split())
-    got = sorted(r["n"] for r in lm.count_words(docs_of(spark, texts).repartition(3), "text").collect())
+    got = sorted(r["n"] for r in lm.count_words(lm._stored(docs_of(spark, texts).repartition(3), "text", lm.ROUNDS)).collect())
     assert got == sorted(want.values())
     empty = docs_of(spark, [None, ""])
     model = lm.train_lm(empty)
-    assert lm.score_lm(docs_of(spark, ["a b"]), model).first()["perplexity"] == pytest.approx(1024, rel=1e-3)
+    assert lm.score_lm(docs_of(spark, ["a b"]), model).first()["perplexity"] == pytest.approx(model.width**3, rel=1e-3)
     clash = docs_of(spark, ["a"]).withColumn("log_prob", F.lit(1))
     assert lm.score_lm(clash, model).columns[-3:] == ["n_tokens", "_log_prob", "perplexity"]
 
@@ -348,6 +464,85 @@ def test_quality_edges(spark):
     assert model.score(np.zeros((1, len(quality.FEATURES))))[0] > 0.5
 
 
+def test_quality_calls_python_once_and_bounds_its_cases(spark, tmp_path):
+    docs_of(spark, ["a", "b"]).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id bigint, quality int")
+    assert plan(quality.quality_filter(docs, labels)).count("ArrowEvalPython") == 1
+    many, seen = docs_of(spark, [f"text {i}" for i in range(50)]).withColumn("doc_id", F.lit(0).cast("bigint")), []
+    real = quality.train
+    try:
+        quality.train = lambda x, y: seen.append(len(x)) or real(x, y)
+        quality.fit_quality(many, labels, train_rows=7)
+    finally:
+        quality.train = real
+    assert seen == [7]
+
+
+def leaf(cases):
+    return sum(g for g, _ in cases) / (sum(h for _, h in cases) + 1.0)
+
+
+def worth(cases):
+    return sum(g for g, _ in cases) * leaf(cases)
+
+
+def test_boosting_against_brute_force(monkeypatch):
+    """The additive model and its pairs, case by case, with every place of the cuts tried."""
+    for name, value in (("BINS", 6), ("COARSE", 3), ("ROUNDS", 4), ("PAIR_ROUNDS", 3), ("PAIRS", 2)):
+        monkeypatch.setattr(quality, name, value)
+    rnd = np.random.default_rng(5)
+    x = rnd.normal(size=(60, 3))
+    y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.3)).astype(float)
+    got = quality.train(x, y)
+    cuts = [sorted(set(np.quantile(x[:, j], np.linspace(0, 1, 7)[1:-1]))) for j in range(3)]
+    bins = [[sum(v >= c for c in cuts[j]) for j, v in enumerate(row)] for row in x]
+    base = np.log((sum(y) + 0.5) / (61 - sum(y) - 0.5))
+    f, tables = [base] * 60, np.zeros((3, 6))
+
+    def slopes():
+        p = [1 / (1 + np.exp(-v)) for v in f]
+        return [(t - q, q * (1 - q)) for t, q in zip(y, p)]
+
+    for _ in range(4):
+        for j in range(3):
+            s, best = slopes(), None
+            for a in range(7):
+                for b in range(a, 7):
+                    parts = [[c for c, k in zip(s, bins) if lo <= k[j] < hi] for lo, hi in ((0, a), (a, b), (b, 6))]
+                    gain = sum(worth(p) for p in parts if p)
+                    if best is None or gain > best[0] + 1e-12:
+                        best = gain, a, b, parts
+            _, a, b, parts = best
+            for k in range(6):
+                tables[j, k] += 0.1 * (leaf(p) if (p := parts[0 if k < a else 1 if k < b else 2]) else 0)
+            f = [base + sum(tables[i, k[i]] for i in range(3)) for k in bins]
+    assert np.allclose(tables, got.tables, atol=1e-9)
+    low = [[min(k * 3 // 6, 2) for k in row] for row in bins]
+
+    def square(p):
+        s, best = slopes(), None
+        for a in range(4):
+            for b in range(4):
+                parts = {(u, v): [c for c, k in zip(s, low) if (k[p[0]] >= a) == u and (k[p[1]] >= b) == v] for u in (False, True) for v in (False, True)}
+                gain = sum(worth(q) for q in parts.values() if q)
+                if best is None or gain > best[0] + 1e-12:
+                    best = gain, a, b, parts
+        return best
+
+    pairs = sorted([(0, 1), (0, 2), (1, 2)], key=lambda p: -square(p)[0])[:2]
+    assert pairs == got.pairs and pairs[0] == (0, 1)
+    squares = np.zeros((2, 3, 3))
+    for _ in range(3):
+        for n, p in enumerate(pairs):
+            _, a, b, parts = square(p)
+            for u in range(3):
+                for v in range(3):
+                    squares[n, u, v] += 0.1 * (leaf(q) if (q := parts[u >= a, v >= b]) else 0)
+            f = [base + sum(tables[i, k[i]] for i in range(3)) + sum(squares[m, c[q[0]], c[q[1]]] for m, q in enumerate(pairs)) for k, c in zip(bins, low)]
+    assert np.allclose(squares, got.pair_tables, atol=1e-9) and np.allclose(f, got.logit(x), atol=1e-9)
+
+
 def test_pair_tables_learn_what_single_tables_cannot():
     rnd = np.random.default_rng(4)
     x = rnd.uniform(-1, 1, (3000, len(quality.FEATURES)))
