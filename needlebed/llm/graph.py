@@ -12,10 +12,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) of every node that has an edge; a component is named by its smallest node.
 
     Loops, repeated edges and edges both ways do no harm; edges with a null end are left out; no edges, no rows. Each
-    step is one shuffle of narrow rows, the number of steps is logarithmic, and each step is cut to the shared folder.
+    step is one shuffle of narrow rows, the number of steps is logarithmic, and each step is cut to the shared folder,
+    the edges too, so that what makes them runs once.
     """
     e = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
+    e = cut(e.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     by_u = Window.partitionBy("u")
     before = None
     while True:

@@ -99,6 +99,34 @@ def test_spanning_links_miss_nothing():
     assert components(links) == components(zip(a.tolist(), b.tolist()))
 
 
+def test_embedding_groups_in_parts(spark, monkeypatch):
+    """Groups of more members than are compared at once, of which some are equal."""
+    monkeypatch.setattr(embed_dedup, "TILE", 7)
+    x = vectors(60, 24, 240, 9, 0.12)
+    x = np.concatenate([x, 2 * x[:30]])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<float>").repartition(5)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(unit @ unit.T >= embed_dedup.THRESHOLD, 1))
+    want = {i: i for i in range(len(x))} | components(zip(a.tolist(), b.tolist()))
+    got = {r["vec_id"]: r["group_id"] for r in embed_dedup.embedding_groups(df, recall=0.9999).collect()}
+    assert np.mean([got[i] == want[i] for i in want]) >= 0.99
+    assert all(got[i] == got[300 + i] for i in range(30))
+
+
+def test_equal_vectors_enter_the_tables_once(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0, float(i % 3)]) for i in range(300)], "vec_id bigint, embedding array<float>")
+    rows, links = embed_dedup.near_links(df)
+    assert rows.select("eid").distinct().count() == 3 and links.count() <= 2
+    assert [r["group_id"] for r in embed_dedup.embedding_groups(df).orderBy("vec_id").collect()][:3] == [0, 1, 1]
+
+
+def test_signs_leave_pairs_at_the_threshold():
+    rnd = np.random.default_rng(2)
+    for t in (0.8, 0.95, 0.99):
+        p = np.arccos(t) / np.pi
+        assert (rnd.binomial(embed_dedup.SIGNS, p, 200_000) > embed_dedup.most_apart(t)).mean() < 3e-4
+
+
 WORDS = [f"w{i}x" for i in range(500)]
 
 
