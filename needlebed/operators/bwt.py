@@ -13,10 +13,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import as_bytes
-from needlebed.shared import by_key
+from needlebed.operators.search import answered, distinct_needles, in_passes
+from needlebed.shared import by_key, shared_dir
 
 END, MARK, SYMBOLS, CHECK_EVERY = 0, 257, 258, 4096
-INDEX = "shard_id bigint, length bigint, c array<bigint>, bwt binary, check_every int, checks binary"
+#: Rows of a shard for each needle from which checkpoints are quicker than sorting all rows.
+ROWS_A_NEEDLE = 5000
+#: ``bwt`` has a byte for each row; ``marks`` are the rows of the end and of the marks, whose bytes are 0 and mean nothing.
+INDEX = "shard_id bigint, length bigint, c array<bigint>, bwt binary, end_row bigint, marks binary, check_every int, checks binary"
 
 
 def symbols(parts: list[bytes]) -> np.ndarray:
@@ -31,7 +35,8 @@ def symbols(parts: list[bytes]) -> np.ndarray:
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Positions of the suffixes in order. Seven symbols are sorted at once; then only suffixes that are still tied are
-    sorted again, by the rank of what follows, twice as far on each time."""
+    sorted again, by the rank of what follows, twice as far on each time. A text that repeats itself, so that many are
+    tied after that, is sorted by ``skew`` over the ranks."""
     n = len(text)
     key = np.zeros(n, np.int64)
     for i in range(7):
@@ -48,6 +53,8 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         tied = np.flatnonzero(~(first & last))
         if not len(tied):
             return order
+        if ahead > 7 and len(tied) > n // 4 and n > 4096:
+            return skew(rank)
         at = order[tied]
         after = np.where(at + ahead < n, rank[np.minimum(at + ahead, n - 1)], -1)
         again = np.argsort(rank[at] * (n + 1) + after)
@@ -58,6 +65,54 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         ahead *= 2
 
 
+def _dense(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """An order of keys, their ranks from 1 on, equal keys being of one rank, and the last rank."""
+    order = np.argsort(keys)
+    some, out = keys[order], np.empty(len(keys), np.int64)
+    ranks = np.cumsum(np.r_[True, some[1:] != some[:-1]])
+    out[order] = ranks
+    return order, out, int(ranks[-1])
+
+
+def skew(s: np.ndarray) -> np.ndarray:
+    """Positions of the suffixes of some numbers (not below 0, under 2^31) in order: those at places that 3 doesn't divide
+    as a text of triples, the others from these (Kärkkäinen and Sanders, 2003), in sorts of a few times their number."""
+    n = len(s)
+    if n < 64:
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
+    most = int(s.max()) + 2
+    pad = np.r_[s + 1, 0, 0, 0]
+    one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
+    sample = np.r_[one, two]
+    pair = pad[:-1] * most + pad[1:]
+    if most**3 >= 1 << 62:
+        pair = _dense(pair)[1]
+    order, name, last = _dense(pair[sample] * most + pad[sample + 2])
+    if last < len(sample):
+        order = skew(name)
+    rank = np.zeros(n + 4, np.int64)
+    rank[sample[order]] = np.arange(1, len(sample) + 1)
+    by_sample = sample[order]
+    by_sample = by_sample[by_sample < n]
+    zero, wide = np.arange(0, n, 3), n + 2
+    key = pad[zero] * wide + rank[zero + 1]
+    sort = np.argsort(key)
+    zero, key = zero[sort], key[sort]
+    # How many of the sample come before each of the others: those at 1 and at 2 modulo 3 are in order among themselves.
+    is_one = by_sample % 3 == 1
+    ones, twos = by_sample[is_one], by_sample[~is_one]
+    before = np.searchsorted(pad[ones] * wide + rank[ones + 1], key)
+    if most * most * wide >= 1 << 62 and most**3 < 1 << 62:
+        pair = _dense(pair)[1]
+    before += np.searchsorted(pair[twos] * wide + rank[twos + 2], pair[zero] * wide + rank[zero + 2])
+    out = np.empty(n, np.int64)
+    at = before + np.arange(len(zero))
+    rest = np.ones(n, bool)
+    rest[at] = False
+    out[at], out[rest] = zero, by_sample
+    return out
+
+
 def transform(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The BWT and the table C: how many symbols are smaller, for each symbol and one beyond."""
     order = suffix_array(text)
@@ -69,7 +124,14 @@ def checkpoints(bwt: np.ndarray, every: int = CHECK_EVERY) -> np.ndarray:
     """How often each symbol comes before rows 0, every, 2 * every, ..., with one row behind the last."""
     blocks = len(bwt) // every + 1
     flat = np.bincount((np.arange(len(bwt)) // every + 1) * SYMBOLS + bwt, minlength=(blocks + 1) * SYMBOLS).reshape(-1, SYMBOLS)
-    return flat.cumsum(0)[:blocks].astype(np.uint32)
+    return narrow(flat.cumsum(0)[:blocks])
+
+
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts as 32-bit numbers; one that doesn't fit is an error."""
+    if counts.size and int(counts.max()) > 0xFFFFFFFF:
+        raise OverflowError(f"a count of {int(counts.max())} doesn't fit a checkpoint of 32 bits")
+    return counts.astype(np.uint32)
 
 
 def occ(bwt: np.ndarray, checks: np.ndarray, every: int, symbol: int, upto: int) -> int:
@@ -111,6 +173,43 @@ def search_many(needles: list[bytes], bwt: np.ndarray) -> np.ndarray:
     return done
 
 
+class Stored:
+    """A shard's transform as it is stored, searched by its checkpoints or, for many needles, sorted anew."""
+
+    def __init__(self, length: int, c, body: bytes, end_row: int, marks: bytes, every: int, checks: bytes):
+        self.n, self.c, self.every = length, np.asarray(c), every
+        self.body, self.end_row, self.marks = np.frombuffer(body, np.uint8), end_row, np.frombuffer(marks, np.uint32)
+        self.checks = np.frombuffer(checks, np.uint32).reshape(-1, SYMBOLS)
+        self.odd = np.sort(np.r_[self.marks.astype(np.int64), end_row])
+
+    def occ(self, byte: int, upto: int) -> int:
+        """How often a byte comes in the first ``upto`` rows."""
+        block = upto // self.every
+        at = block * self.every
+        here = int(np.count_nonzero(self.body[at:upto] == byte))
+        if byte == 0:
+            here -= int(np.searchsorted(self.odd, upto) - np.searchsorted(self.odd, at))
+        return int(self.checks[block, byte + 1]) + here
+
+    def contains(self, needle: bytes) -> bool:
+        left, right = 0, self.n
+        for b in reversed(needle):
+            left, right = (int(self.c[b + 1]) + self.occ(b, x) for x in (left, right))
+            if left >= right:
+                return False
+        return bool(needle)
+
+    def symbols(self) -> np.ndarray:
+        out = self.body.astype(np.uint16) + np.uint16(1)
+        out[self.end_row], out[self.marks] = END, MARK
+        return out
+
+    def search(self, needles: list[bytes]) -> np.ndarray:
+        if len(needles) * ROWS_A_NEEDLE < self.n:
+            return np.array([self.contains(x) for x in needles], bool)
+        return search_many(needles, self.symbols())
+
+
 def build_index(segments: DataFrame, check_every: int = CHECK_EVERY) -> DataFrame:
     """One row of index for each shard of (shard_id, file_ord, seg_ord, content)."""
 
@@ -120,9 +219,11 @@ def build_index(segments: DataFrame, check_every: int = CHECK_EVERY) -> DataFram
 
         def row():
             bwt, c = transform(symbols(held))
-            body = [[shard], [len(bwt)], [c.tolist()], [bwt.tobytes()], [check_every], [checkpoints(bwt, check_every).tobytes()]]
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(body, kinds)], ["shard_id", "length", "c", "bwt", "check_every", "checks"])
+            marks = narrow(np.flatnonzero(bwt == MARK))
+            flat = np.where((bwt == END) | (bwt == MARK), 0, bwt.astype(np.int16) - 1).astype(np.uint8)
+            body = [[shard], [len(bwt)], [c.tolist()], [flat.tobytes()], [int(np.flatnonzero(bwt == END)[0])], [marks.tobytes()], [check_every], [checkpoints(bwt, check_every).tobytes()]]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64(), pa.binary(), pa.int32(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(body, kinds)], [x.split()[0] for x in INDEX.split(", ")])
 
         for batch in batches:
             for sid, body in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -138,30 +239,26 @@ def build_index(segments: DataFrame, check_every: int = CHECK_EVERY) -> DataFram
     return rows.select("shard_id", "content").mapInArrow(run, INDEX)
 
 
-def backward_search(index: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle", max_needle_bytes: int = 8 << 20) -> DataFrame:
-    """(key, found) by backward search over every shard. The distinct needles go to the tasks, up to about
-    ``max_needle_bytes`` for one pass over the index; more are searched for in several, which each read ``index``."""
-    asked = queries.select(F.col(key), as_bytes(F.col(needle)).alias("__needle"))
-    distinct = asked.where("octet_length(__needle) > 0").select("__needle").distinct()
-    passes = -(-(distinct.agg(F.sum(F.octet_length("__needle"))).first()[0] or 0) // max_needle_bytes)
+def backward_search(index: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle", max_needle_bytes: int | None = None) -> DataFrame:
+    """(key, found) by backward search over every shard, for each row of ``queries``, whatever its key. The distinct
+    needles go to the tasks, up to about ``max_needle_bytes`` (as many as a scan has) for one pass over the index; more
+    are searched for in several."""
 
     def run(batches, shared):
+        needles = shared.value
+        left = np.arange(len(needles))
         for batch in batches:
-            found = np.zeros(len(shared.value), bool)
-            for bwt in batch.column(0):
-                if len(found):
-                    found |= search_many(shared.value, np.frombuffer(bwt.as_py(), np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.array([shared.value[i] for i in np.flatnonzero(found)], pa.binary())], ["__needle"])
-
-    hits = None
-    for g in range(passes):
-        some = distinct if passes == 1 else distinct.where(F.pmod(F.xxhash64("__needle"), F.lit(passes)) == g)
-        shared = index.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in some.collect()])
-        found = index.select("bwt").mapInArrow(lambda it, b=shared: run(it, b), "__needle binary")
-        hits = found if hits is None else hits.unionAll(found)
-    if hits is None:
-        return asked.select(key, F.lit(False).alias("found"))
-    return asked.join(hits.distinct().withColumn("__hit", F.lit(True)), "__needle", "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
+            for row in zip(*(batch.column(c) for c in range(7))):
+                hit = Stored(*(x.as_py() for x in row)).search([needles[i] for i in left]) if len(left) else np.empty(0, bool)
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([needles[i] for i in left[hit]], pa.binary())], ["__needle"])
+                    left = left[~hit]
+
+    rows, hits = index.select("length", "c", "bwt", "end_row", "marks", "check_every", "checks"), []
+    for some in in_passes(distinct_needles(queries, needle), max_needle_bytes):
+        shared = index.sparkSession.sparkContext.broadcast(some)
+        hits.append(rows.mapInArrow(lambda it, b=shared: run(it, b), "__needle binary"))
+    return answered(queries, hits, key, needle)
 
 
 def symbol_counts(df: DataFrame, key: str, content: str = "content") -> DataFrame:
@@ -201,6 +298,26 @@ def suffixes(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     return rows.select(key, rk.alias("rk"), F.col("pos").cast("bigint").alias("pos"), last.alias("prev"))
 
 
+def suffix_doubling(df: DataFrame, key: str, content: str = "content") -> DataFrame:
+    """``suffixes`` by prefix doubling in Spark's own operators: every position gets the rank of its first symbol, then
+    again and again the rank of its own rank and of the one as far on as is sorted by now, twice as far each time, until
+    no two are equal. Rows are (key, pos, rank), never suffixes; each round is cut to the shared folder."""
+    body = as_bytes(F.col(content))
+    rows = df.select(F.col(key), body.alias("__body")).where("__body IS NOT NULL").withColumn("pos", F.explode(F.sequence(F.lit(0), F.octet_length("__body"))))
+    size = F.octet_length("__body")
+    here = F.when(F.col("pos") < size, F.conv(F.hex(F.substring("__body", F.col("pos") + 1, F.lit(1))), 16, 10).cast("bigint") + 1).otherwise(F.lit(END).cast("bigint"))
+    prev = F.when(F.col("pos") == 0, END).otherwise(F.conv(F.hex(F.substring("__body", F.greatest("pos", F.lit(1)), F.lit(1))), 16, 10).cast("int") + 1)
+    shared_dir(df.sparkSession)
+    at = rows.select(key, F.col("pos").cast("bigint").alias("pos"), prev.alias("prev"), here.alias("rank")).checkpoint()
+    ahead = 1
+    while True:
+        after = F.coalesce(F.lead("rank", ahead).over(Window.partitionBy(key).orderBy("pos")), F.lit(-1))
+        at = at.withColumn("after", after).withColumn("rank", F.rank().over(Window.partitionBy(key).orderBy("rank", "after")).cast("bigint")).drop("after").checkpoint()
+        if at.groupBy(key, "rank").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return at.select(key, (F.col("rank") - 1).alias("rk"), "pos", "prev")
+        ahead *= 2
+
+
 def suffix_rows(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """``suffixes`` for contents of any length, sorted in numpy."""
 

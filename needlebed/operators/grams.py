@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import _A0, _C48, _FNV, _G, BLOOM_BITS, as_bytes
-from needlebed.shared import by_key
+from needlebed.operators.search import batch_contains, distinct_needles
+from needlebed.shared import by_key, shared_dir
 
 TRIGRAM, NGRAM = 3, 8
+#: Bits of a filter that are packed together; bits of a needle that are enough; ids that are pushed down, and broadcast.
+GROUP, PROBE, PUSHED, BROADCAST_IDS = 1 << 21, 24, 1000, 1 << 20
 
 
 def trigram_keys(body: bytes) -> np.ndarray:
@@ -37,51 +40,147 @@ def bloom_pairs(body: bytes) -> np.ndarray:
     return np.stack([a, (a + (c | 1)) & (BLOOM_BITS - 1)], 1)
 
 
-def _distinct_by(df: DataFrame, key: str, content: str, what, name: str) -> DataFrame:
-    """Distinct (key, value) of the values that ``what`` finds in the contents of a key. The contents are brought
-    together by key, which moves a fraction of what their values would; no shuffle follows."""
+def _distinct_by(df: DataFrame, key: str, content: str, what, rows, schema: str) -> DataFrame:
+    """What ``rows`` makes of a key and the distinct, sorted values that ``what`` finds in its contents. The contents are
+    brought together by key, which moves a fraction of what their values would; no shuffle follows."""
 
     def run(batches):
         held: list[np.ndarray] = []
         at = None
-
-        def rows():
-            v = np.unique(np.concatenate(held))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(v), at, np.int64)), pa.array(v)], [key, name])
-
         for batch in batches:
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k != at:
                     if held:
-                        yield rows()
+                        yield rows(at, np.unique(np.concatenate(held)))
                     at, held = k, []
                 held.append(np.unique(what(body.as_py())))
                 if len(held) > 64:
                     held = [np.unique(np.concatenate(held))]
         if held:
-            yield rows()
+            yield rows(at, np.unique(np.concatenate(held)))
 
     some = df.select(F.col(key).cast("bigint").alias(key), as_bytes(F.col(content)).alias("__body")).where(F.col(key).isNotNull() & F.col("__body").isNotNull())
-    return by_key(some, key).sortWithinPartitions(key).mapInArrow(run, f"{key} bigint, {name} bigint")
+    return by_key(some, key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
+def _pairs_of(key: str, name: str):
+    return lambda at, v: pa.RecordBatch.from_arrays([pa.array(np.full(len(v), at, np.int64)), pa.array(v)], [key, name])
 
 
 def trigram_index(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
     """(shard_id, gram): the trigrams of each shard, each once."""
-    return _distinct_by(segments, key, content, trigram_keys, "gram")
+    return _distinct_by(segments, key, content, trigram_keys, _pairs_of(key, "gram"), f"{key} bigint, gram bigint")
+
+
+def pack(bits: np.ndarray) -> bytes:
+    """Sorted numbers below GROUP: as a bitmap, or where that is shorter as their differences."""
+    if 4 * len(bits) < GROUP // 8:
+        return np.diff(bits, prepend=0).astype("<u4").tobytes()
+    full = np.zeros(GROUP, bool)
+    full[bits] = True
+    return np.packbits(full).tobytes()
+
+
+def unpack(data: bytes) -> np.ndarray:
+    if len(data) < GROUP // 8:
+        return np.cumsum(np.frombuffer(data, "<u4").astype(np.int64))
+    return np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8)))
+
+
+def has(data: bytes, wanted: np.ndarray) -> np.ndarray:
+    """Which of some numbers are in a packed set."""
+    if len(data) < GROUP // 8:
+        some = unpack(data)
+        return some[np.minimum(np.searchsorted(some, wanted), len(some) - 1)] == wanted if len(some) else np.zeros(len(wanted), bool)
+    return (np.frombuffer(data, np.uint8)[wanted >> 3] >> (7 - (wanted & 7))) & 1 > 0
+
+
+def ngram_filter(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
+    """(shard_id, bit, n_bits, bits): the Bloom bits that the 8-grams of each shard set, packed by groups of GROUP bits;
+    ``bit`` is a group's first."""
+
+    def rows(at, v):
+        first = np.unique(v // GROUP)
+        parts = [v[slice(*np.searchsorted(v, (g * GROUP, (g + 1) * GROUP)))] - g * GROUP for g in first]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), at, np.int64)), pa.array(first * GROUP), pa.array([len(x) for x in parts], pa.int64()), pa.array([pack(x) for x in parts], pa.binary())], [key, "bit", "n_bits", "bits"])
+
+    return _distinct_by(segments, key, content, lambda b: bloom_pairs(b).ravel(), rows, f"{key} bigint, bit bigint, n_bits bigint, bits binary")
+
+
+def unpacked(filters: DataFrame) -> DataFrame:
+    """(shard_id, bit): a packed filter's bits, each a row."""
+
+    def run(batches):
+        for batch in batches:
+            for shard, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                v = unpack(data.as_py()) + first
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), shard, np.int64)), pa.array(v)], ["shard_id", "bit"])
+
+    return filters.select("shard_id", "bit", "bits").mapInArrow(run, "shard_id bigint, bit bigint")
 
 
 def ngram_filter_bits(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
     """(shard_id, bit): the Bloom bits that the 8-grams of each shard set, each once."""
-    return _distinct_by(segments, key, content, lambda b: bloom_pairs(b).ravel(), "bit")
+    return _distinct_by(segments, key, content, lambda b: bloom_pairs(b).ravel(), _pairs_of(key, "bit"), f"{key} bigint, bit bigint")
+
+
+def wanted_bits(needles: list[bytes], least: int = PROBE) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By the first bit of a group: the numbers of needles, how many groups each of them goes through, where each one's
+    bits begin, and the bits. A needle goes through the groups that have most of its bits, until it has ``least``: a part
+    of the bits is a weaker filter, but never loses a shard."""
+    by_group: dict[int, list] = {}
+    for i, needle in enumerate(needles):
+        v = np.unique(bloom_pairs(needle))
+        groups, first, n = np.unique(v // GROUP, return_index=True, return_counts=True)
+        order = np.argsort(-n, kind="stable")
+        some = order[: int(np.searchsorted(np.cumsum(n[order]), least)) + 1]
+        for g in some:
+            by_group.setdefault(int(groups[g]) * GROUP, []).append((i, len(some), v[first[g] : first[g] + n[g]] % GROUP))
+    out = {}
+    for g, rows in by_group.items():
+        sizes = [len(r[2]) for r in rows]
+        out[g] = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.r_[0, np.cumsum(sizes[:-1])].astype(np.int64), np.concatenate([r[2] for r in rows])
+    return out
+
+
+def filter_shards(filters: DataFrame, needles: list[bytes]) -> DataFrame:
+    """(shard_id): the shards that one of some needles of 8 bytes or more may be in, once for each such needle. The needles'
+    bits are broadcast, and of the stored filter only their groups are read, by a filter that is pushed down."""
+    wanted = wanted_bits(needles)
+    shared = filters.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches):
+        for batch in batches:
+            for shard, first, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                number, need, starts, bits = shared.value[first]
+                hit = np.flatnonzero(np.logical_and.reduceat(has(data.as_py(), bits), starts))
+                if len(hit):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), shard, np.int64)), pa.array(number[hit]), pa.array(need[hit])], ["shard_id", "number", "need"])
+
+    rows = filters.where(F.col("bit").isin(sorted(wanted))).select("shard_id", "bit", "bits")
+    had = rows.mapInArrow(run, "shard_id bigint, number bigint, need bigint")
+    one = had.where("need = 1").select("shard_id")
+    return one.unionAll(had.where("need > 1").groupBy("shard_id", "number", "need").agg(F.count("*").alias("had")).where("had = need").select("shard_id"))
+
+
+def _needle_id(c):
+    return F.unhex(F.md5(c))
 
 
 def _divided(index: DataFrame, value: str, queries: DataFrame, key: str, needle: str, what) -> DataFrame:
-    """(key, shard_id): the shards that have all the values of a query (relational division). Queries without values
-    have no rows."""
-    wanted = _distinct_by(queries, key, needle, what, value)
-    sized = wanted.groupBy(key).agg(F.count("*").alias("wanted"))
-    had = wanted.join(index, value).groupBy(key, "shard_id").agg(F.count("*").alias("had"))
-    return had.join(sized, key).where("had = wanted").select(key, "shard_id")
+    """(key, shard_id): the shards that have all the values of a query's needle (relational division), for each row of
+    ``queries``. Needles are told apart by their content, so keys may be of any type, repeat and be null. Rows whose
+    needle has no values have no shards."""
+
+    def run(batches):
+        for batch in batches:
+            for nid, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                v = np.unique(what(body.as_py()))
+                yield pa.RecordBatch.from_arrays([pa.array([nid] * len(v), pa.binary()), pa.array(v), pa.array(np.full(len(v), len(v)))], ["nid", value, "wanted"])
+
+    wanted = distinct_needles(queries, needle).select(_needle_id("__needle").alias("nid"), "__needle").mapInArrow(run, f"nid binary, {value} bigint, wanted bigint")
+    had = wanted.join(index, value).groupBy("nid", "wanted", "shard_id").agg(F.count("*").alias("had")).where("had = wanted")
+    return queries.select(F.col(key), _needle_id(as_bytes(F.col(needle))).alias("nid")).join(had, "nid").select(key, "shard_id")
 
 
 def trigram_candidates(index: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
@@ -101,15 +200,25 @@ def route(needle):
 
 
 def candidates(shards: DataFrame, trigrams: DataFrame, bits: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
-    """(key, shard_id): where each needle may be, by its route; needles of one or two bytes may be anywhere."""
+    """(key, shard_id): where each needle may be, by its route. Needles of one or two bytes may be anywhere: a row for
+    each of them and each shard, so they are better searched for without this."""
     routed = queries.withColumn("__route", route(F.col(needle)))
     long, middle, short = (routed.where(F.col("__route") == r) for r in ("ngram", "trigram", "scan"))
-    every = short.select(F.col(key).cast("bigint")).crossJoin(shards.select("shard_id").distinct())
+    every = short.select(F.col(key)).crossJoin(shards.select("shard_id").distinct())
     return ngram_candidates(bits, long, key, needle).unionByName(trigram_candidates(trigrams, middle, key, needle)).unionByName(every)
 
 
+def in_shards(segments: DataFrame, shards: DataFrame) -> DataFrame:
+    """The segments of some shards (shard_id): few are pushed down to the scan by their ids, more are a semi-join, whose
+    smaller side is broadcast if it is measured to be small."""
+    ids = [r[0] for r in shards.distinct().limit(PUSHED + 1).collect()]
+    if len(ids) <= PUSHED:
+        return segments.where(F.col("shard_id").isin(sorted(ids)))
+    some = shards.distinct().checkpoint() if shared_dir(segments.sparkSession) else shards
+    return segments.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "shard_id", "left_semi")
+
+
 def verify(segments: DataFrame, pairs: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
-    """(key): the queries whose needle is in a segment of one of their candidate shards. Needles go to the shards'
-    segments by an equi-join on the shard."""
-    asked = pairs.join(queries.select(F.col(key), as_bytes(F.col(needle)).alias("__needle")), key)
-    return asked.join(segments.select("shard_id", "content"), "shard_id").where(F.contains("content", F.col("__needle"))).select(key).distinct()
+    """(key): the queries whose needle is in a segment of a candidate shard; a key that several rows have, if one of
+    them is found. Each segment is read once, whatever the number of needles that its shard is a candidate for."""
+    return batch_contains(in_shards(segments, pairs.select("shard_id")), queries, key, needle).where("found").select(key).distinct()

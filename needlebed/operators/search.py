@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import as_bytes, found_in
+from needlebed.shared import work_path
 
 #: Bytes of needles, at most, in one pass over the corpus; more are searched for in several.
 NEEDLE_BYTES = 8 << 20
@@ -25,10 +29,11 @@ def contains_one(corpus: DataFrame, needle: bytes, max_bytes: int = 0) -> bool:
 def _hits(batches, needles: list[bytes]):
     """The needles that are in the contents of a partition, each once; ends early when all are found."""
     short = [n for n in needles if len(n) < 4]
-    left: dict[str, list[bytes]] = {}
+    # By leading bytes, then by length: needles with a long start in common cost one look for each length.
+    left: dict[str, dict[int, set[bytes]]] = {}
     for n in needles:
         if len(n) >= 4:
-            left.setdefault(n[:LEAD].decode("latin-1"), []).append(n)
+            left.setdefault(n[:LEAD].decode("latin-1"), {}).setdefault(len(n), set()).add(n)
     auto = ahocorasick.Automaton()
     for lead in left:
         auto.add_word(lead, lead)
@@ -47,10 +52,12 @@ def _hits(batches, needles: list[bytes]):
             for end, lead in auto.iter(body.decode("latin-1")) if left else ():
                 if left[lead]:
                     at = end + 1 - len(lead)
-                    hit = [n for n in left[lead] if body.startswith(n, at)]
-                    if hit:
-                        left[lead] = [n for n in left[lead] if n not in hit]
-                        now += hit
+                    hit = [(size, n) for size, some in left[lead].items() if (n := body[at : at + size]) in some]
+                    for size, n in hit:
+                        left[lead][size].discard(n)
+                        if not left[lead][size]:
+                            del left[lead][size]
+                        now.append(n)
             found += now
             waiting -= len(now)
         if found:
@@ -59,29 +66,51 @@ def _hits(batches, needles: list[bytes]):
             return
 
 
+def distinct_needles(queries: DataFrame, needle: str = "needle", max_bytes: int = 0) -> DataFrame:
+    """(__needle): the needles to search for, each once; null, empty and over-long ones are nowhere."""
+    rows = queries.select(as_bytes(F.col(needle)).alias("__needle")).where("octet_length(__needle) > 0")
+    return (rows.where(F.octet_length("__needle") <= max_bytes) if max_bytes else rows).distinct()
+
+
+def in_passes(distinct: DataFrame, most: int | None = None) -> Iterator[list[bytes]]:
+    """The needles in lists of up to about ``most`` bytes, NEEDLE_BYTES by default. More than one list is stored first,
+    so that the queries are read once."""
+    most = most or NEEDLE_BYTES
+    spark = distinct.sparkSession
+    passes = -(-(distinct.agg(F.sum(F.octet_length("__needle"))).first()[0] or 0) // most)
+    if passes > 1:
+        path = work_path(spark, "needles")
+        distinct.withColumn("__pass", F.pmod(F.xxhash64("__needle"), F.lit(passes))).repartition("__pass").write.partitionBy("__pass").parquet(path)
+        distinct = spark.read.parquet(path)
+    for g in range(passes):
+        some = distinct.where(F.col("__pass") == g).select("__needle") if passes > 1 else distinct
+        yield [bytes(r[0]) for r in some.collect()]
+
+
+def find(corpus: DataFrame, needles: list[bytes]) -> DataFrame:
+    """(__needle): those of some needles that are in the ``content`` of a row of ``corpus``, once for each task that
+    finds them. The needles are broadcast."""
+    shared = corpus.sparkSession.sparkContext.broadcast(needles)
+    return corpus.select("content").mapInArrow(lambda it: _hits(it, shared.value), "__needle binary")
+
+
+def answered(queries: DataFrame, hits: list[DataFrame], key: str = "line_no", needle: str = "needle") -> DataFrame:
+    """(key, found) for each row of ``queries``, whatever its key: is its needle in ``hits``?"""
+    if not hits:
+        return queries.select(key, F.lit(False).alias("found"))
+    asked = queries.select(F.col(key), as_bytes(F.col(needle)).alias("__needle"))
+    every = reduce(DataFrame.unionAll, hits).distinct().withColumn("__hit", F.lit(True))
+    return asked.join(every, "__needle", "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
+
+
 def batch_contains(corpus: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle", max_bytes: int = 0) -> DataFrame:
     """(key, found) for each row of ``queries``: is its needle in the ``content`` of a row of ``corpus``?
 
     The distinct needles are sent to the tasks, up to about NEEDLE_BYTES for one pass over the corpus; in a pass each
     task reads its part once, whatever the number of needles, and returns a needle at most once. Null, empty and over-long
-    needles are false without a search. Repeated keys and needles each get their answer.
+    needles are false without a search. Keys may be of any type, repeat and be null: each row gets its answer.
     """
-    asked = queries.select(F.col(key), as_bytes(F.col(needle)).alias("__needle"))
-    fits = F.col("__needle").isNotNull() & (F.octet_length("__needle") > 0)
-    if max_bytes:
-        fits = fits & (F.octet_length("__needle") <= max_bytes)
-    distinct = asked.where(fits).select("__needle").distinct()
-    total = distinct.agg(F.sum(F.octet_length("__needle"))).first()[0] or 0
-    passes = -(-total // NEEDLE_BYTES)
-    hits = None
-    for g in range(passes):
-        some = distinct if passes == 1 else distinct.where(F.pmod(F.xxhash64("__needle"), F.lit(passes)) == g)
-        shared = corpus.sparkSession.sparkContext.broadcast([bytes(r[0]) for r in some.collect()])
-        found = corpus.select("content").mapInArrow(lambda it, b=shared: _hits(it, b.value), "__needle binary")
-        hits = found if hits is None else hits.unionAll(found)
-    if hits is None:
-        return asked.select(key, F.lit(False).alias("found"))
-    return asked.join(hits.distinct().withColumn("__hit", F.lit(True)), "__needle", "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
+    return answered(queries, [find(corpus, some) for some in in_passes(distinct_needles(queries, needle, max_bytes))], key, needle)
 
 
 def as_result(answers: DataFrame, key: str = "line_no") -> DataFrame:

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import threading
+import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from needlebed.errors import EmptyCorpusError, IndexFormatError
 from needlebed.functions.sizes import BUILD_FACTOR, DEFAULT_MAX_QUERY, DEFAULT_MEMORY, shard_size_for_memory
 from needlebed.operators import bwt, grams, search, segments
 from needlebed.plans.manifest import Manifest, Versions, corpus_sha256, read_manifest, write_manifest
 from needlebed.shared import by_key
 from needlebed.sources.tables import collect_files, read_files
 
+#: Shards and files, at most, that the manifest names.
+LISTED = 10_000
+
 
 @dataclass
 class BuildOptions:
-    """``shard_size`` 0: what the memory limit gives. ``digest``: the hash of the whole corpus, which one task works out."""
+    """``shard_size`` 0: what the memory limit gives. ``single``: one shard, however large, without a limit of needles; one
+    task sorts it. ``digest``: the hash of the whole corpus, which one task works out."""
 
     recursive: bool = False
     memory_limit: int = DEFAULT_MEMORY
@@ -29,14 +36,15 @@ class BuildOptions:
     check_every: int = bwt.CHECK_EVERY
     with_bwt: bool = True
     digest: bool = True
+    single: bool = False
 
-    def settled(self, spark: SparkSession) -> BuildOptions:
+    def settled(self, spark: SparkSession, total: int = 0) -> BuildOptions:
         if self.memory_limit < BUILD_FACTOR:
             raise ValueError(f"the memory limit must be at least {BUILD_FACTOR} bytes")
-        size = self.shard_size or shard_size_for_memory(self.memory_limit)
+        size = max(total, self.max_query_bytes + 1) if self.single else self.shard_size or shard_size_for_memory(self.memory_limit)
         segments.check_sizes(size, self.max_query_bytes)
         jobs = self.jobs or max(1, spark.sparkContext.defaultParallelism)
-        return BuildOptions(self.recursive, self.memory_limit, self.max_query_bytes, jobs, size, self.check_every, self.with_bwt, self.digest)
+        return replace(self, jobs=jobs, shard_size=size)
 
 
 @dataclass
@@ -56,43 +64,91 @@ def build(spark: SparkSession, paths: list[str], out: str, options: BuildOptions
     return build_from(read_files(listing), out, options, progress, list(paths))
 
 
+def _watched(spark: SparkSession, tell: Callable[[Progress], None], start: Progress, run: Callable[[], None]) -> None:
+    """Run Spark jobs and tell how many of their tasks are done, from time to time, and at the end that all is."""
+    sc, group, over = spark.sparkContext, f"build-{uuid.uuid4().hex}", threading.Event()
+
+    def watch():
+        while not over.wait(0.5):
+            tracker, done, every = sc.statusTracker(), 0, 0
+            for job in tracker.getJobIdsForGroup(group):
+                info = tracker.getJobInfo(job)
+                for stage in map(tracker.getStageInfo, info.stageIds if info else []):
+                    if stage:
+                        done, every = done + stage.numCompletedTasks, every + stage.numTasks
+            if every:
+                tell(replace(start, message=f"{start.message}, tasks", current=done, total=every))
+
+    tell(start)
+    before = sc.getLocalProperty("spark.jobGroup.id"), sc.getLocalProperty("spark.job.description")
+    sc.setJobGroup(group, start.message)
+    thread = threading.Thread(target=watch, daemon=True)
+    thread.start()
+    try:
+        run()
+    finally:
+        over.set()
+        thread.join()
+        sc.setLocalProperty("spark.jobGroup.id", before[0])
+        sc.setLocalProperty("spark.job.description", before[1])
+    tell(replace(start, current=start.total, current_bytes=start.total_bytes))
+
+
 def build_from(files: DataFrame, out: str, options: BuildOptions | None = None, progress: Callable[[Progress], None] | None = None, input_paths: list[str] | None = None) -> Manifest:
     """Index (file_ord, path, size, content) into ``out``: the segments by shard, filters if there is more than one
     shard, the BWT of each shard if asked for, and the manifest. The source is read once for the plan and once for the
-    segments; all else reads the written segments."""
-    spark, opt = files.sparkSession, (options or BuildOptions()).settled(files.sparkSession)
-    tell = progress or (lambda _: None)
-    tell(Progress("plan", "packing segments into shards"))
-    planned = segments.plan_shards(segments.chunk_segments(files, opt.shard_size, opt.max_query_bytes), opt.shard_size)
-    planned.write.parquet(f"{out}/plan")
-    planned = spark.read.parquet(f"{out}/plan")
-    stats = segments.shard_stats(planned).join(segments.shard_files(planned), "shard_id").orderBy("shard_id").collect()
-    if not stats:
-        from needlebed.errors import EmptyCorpusError
-
+    segments; all else reads the written segments. Shards that don't hold the bytes that were planned are an error."""
+    spark, tell = files.sparkSession, progress or (lambda _: None)
+    n_files, total, last_path = files.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)).cast("bigint"), F.max("path")).first()
+    if not n_files:
         raise EmptyCorpusError("the corpus is empty")
-    tell(Progress("segments", "writing segments", 0, len(stats)))
-    cut = segments.segment_scan(files, shard_size=opt.shard_size, max_query=opt.max_query_bytes).drop("path", "length")
+    opt = (options or BuildOptions()).settled(spark, total)
+    path = last_path if input_paths else ""
+    _watched(spark, tell, Progress("plan", "packing segments into shards", 0, n_files, 0, total, path), lambda: segments.plan_shards(segments.chunk_segments(files, opt.shard_size, opt.max_query_bytes), opt.shard_size).write.parquet(f"{out}/plan"))
+    planned = spark.read.parquet(f"{out}/plan")
+    held, n_shards = planned.agg(F.sum("length"), F.max("shard_id") + 1).first()
+    cut = segments.segment_scan(files, shard_size=opt.shard_size, max_query=opt.max_query_bytes).drop("path")
     placed = cut.join(planned.select("file_ord", "seg_ord", "shard_id"), ["file_ord", "seg_ord"])
-    by_key(placed, "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments")
+    _watched(spark, tell, Progress("segments", "writing segments", 0, n_shards, 0, held, path), lambda: by_key(placed, "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments"))
     stored = spark.read.parquet(f"{out}/segments")
-    if len(stats) > 1:
-        tell(Progress("filters", "writing n-gram filter and trigram index"))
-        by_key(grams.ngram_filter_bits(stored), F.shiftright("bit", 15)).sortWithinPartitions("bit").write.parquet(f"{out}/ngram")
-        by_key(grams.trigram_index(stored), F.shiftright("gram", 14)).sortWithinPartitions("gram").write.parquet(f"{out}/trigram")
+    _check_bytes(planned, stored)
+    if n_shards > 1:
+
+        def filters():
+            grams.ngram_filter(stored).sortWithinPartitions("bit", "shard_id").write.option("compression", "zstd").parquet(f"{out}/ngram")
+            by_key(grams.trigram_index(stored), F.shiftright("gram", 14)).sortWithinPartitions("gram").write.parquet(f"{out}/trigram")
+
+        _watched(spark, tell, Progress("filters", "writing n-gram filter and trigram index", 0, n_shards, 0, held), filters)
     if opt.with_bwt:
-        tell(Progress("shards", "sorting shards", 0, len(stats)))
-        bwt.build_index(stored, opt.check_every).write.parquet(f"{out}/bwt")
-    tell(Progress("hash", "hashing the corpus"))
-    sizes = files.agg(F.count("*"), F.sum("size")).first()
-    names = [r[0] for r in planned.groupBy("file_ord").agg(F.first("path").alias("path")).orderBy("file_ord").select("path").collect()] if input_paths else []
-    shards = [{"shard_id": r["shard_id"], "file_count": r["file_count"], "total_bytes": r["total_bytes"], "files": r["files"] if input_paths else []} for r in stats]
-    m = Manifest(sizes[0], int(sizes[1]), corpus_sha256(files) if opt.digest else None, opt.recursive, input_paths or [], opt.memory_limit, opt.max_query_bytes, opt.jobs, opt.shard_size, len(stats), shards, names)
+        _watched(spark, tell, Progress("shards", "sorting shards", 0, n_shards, 0, held), lambda: bwt.build_index(stored, opt.check_every).write.parquet(f"{out}/bwt"))
+    sha = []
+    if opt.digest:
+        _watched(spark, tell, Progress("hash", "hashing the corpus", 0, n_files, 0, total), lambda: sha.append(corpus_sha256(files)))
+    # The table of the plan has every shard and file; the manifest names them while they are few.
+    shards, names = [], []
+    if n_shards <= LISTED and n_files <= LISTED:
+        stats = segments.shard_stats(planned).join(segments.shard_files(planned), "shard_id").orderBy("shard_id").collect()
+        shards = [{"shard_id": r["shard_id"], "file_count": r["file_count"], "total_bytes": r["total_bytes"], "files": r["files"] if input_paths else []} for r in stats]
+        names = [r[0] for r in files_of(planned).orderBy("file_ord").select("path").collect()] if input_paths else []
+    m = Manifest(n_files, int(total), sha[0] if sha else None, opt.recursive, input_paths or [], opt.memory_limit, opt.max_query_bytes, opt.jobs, opt.shard_size, n_shards, shards, names)
     write_manifest(spark, out, m)
-    tell(Progress("done", "index written", len(stats), len(stats)))
+    tell(Progress("done", "index written", n_shards, n_shards, total, total))
     return m
 
 
+def _check_bytes(planned: DataFrame, stored: DataFrame) -> None:
+    """The bytes of each shard are those that were planned."""
+    want, got = (df.groupBy("shard_id").agg(F.sum("length").alias(name), F.count("*").alias("n_" + name)) for df, name in ((planned, "want"), (stored, "got")))
+    bad = want.join(got, "shard_id", "full").where(~(F.col("want").eqNullSafe(F.col("got")) & F.col("n_want").eqNullSafe(F.col("n_got")))).first()
+    if bad:
+        raise IndexFormatError(f"shard {bad['shard_id']} holds {bad['got']} bytes in {bad['n_got']} segments, planned were {bad['want']} in {bad['n_want']}")
+
+
+def files_of(planned: DataFrame) -> DataFrame:
+    """(file_ord, path): the indexed files."""
+    return planned.groupBy("file_ord").agg(F.first("path").alias("path"))
+
+
 class Searcher(Protocol):
     def contains(self, needle: str) -> bool: ...
 
@@ -119,26 +175,41 @@ class Index:
     def contains(self, needle: str) -> bool:
         return self.contains_bytes(needle.encode())
 
+    def shards(self) -> DataFrame:
+        """(shard_id, file_count, total_bytes) of every shard."""
+        return segments.shard_stats(self._table("plan"))
+
+    def files(self) -> DataFrame:
+        """(file_ord, path) of every indexed file."""
+        return files_of(self._table("plan"))
+
     def contains_bytes(self, needle: bytes) -> bool:
-        """One needle: the filter's shards, read by pushed-down shard ids, then the bytes themselves."""
+        """One needle: the filter's shards, then the bytes themselves. A needle that may be in more shards than are
+        pushed down is searched for in all, which ends at the first hit, and so is one of one or two bytes."""
         limit = self.max_query_bytes()
         if not needle or (limit and len(needle) > limit):
             return False
         rows = self.segments()
         if self.manifest.shard_count > 1 and len(needle) >= grams.TRIGRAM:
-            ids = [r[0] for r in self._one(needle).collect()]
+            ids = [r[0] for r in self.candidate_shards([needle]).limit(grams.PUSHED + 1).collect()]
             if not ids:
                 return False
-            rows = rows.where(F.col("shard_id").isin(ids))
+            if len(ids) <= grams.PUSHED:
+                rows = rows.where(F.col("shard_id").isin(ids))
         return search.contains_one(rows, needle, limit)
 
-    def _one(self, needle: bytes) -> DataFrame:
-        """(shard_id): an index lookup by the needle's own values."""
-        if len(needle) >= grams.NGRAM:
-            index, name, values = self._table("ngram"), "bit", {int(v) for v in grams.bloom_pairs(needle).ravel()}
-        else:
-            index, name, values = self._table("trigram"), "gram", {int(v) for v in grams.trigram_keys(needle)}
-        return index.where(F.col(name).isin(sorted(values))).groupBy("shard_id").agg(F.count_distinct(name).alias("n")).where(F.col("n") == len(values)).select("shard_id")
+    def candidate_shards(self, needles: list[bytes]) -> DataFrame:
+        """(shard_id): where one of some needles of 3 bytes or more may be; a shard may come more than once."""
+        long, middle = [n for n in needles if len(n) >= grams.NGRAM], [n for n in needles if grams.TRIGRAM <= len(n) < grams.NGRAM]
+        parts = [grams.filter_shards(self._table("ngram"), long)] if long else []
+        if middle:
+            asked = self.spark.createDataFrame([(bytearray(n),) for n in middle], "needle binary").withColumn("line_no", F.lit(0))
+            index = self._table("trigram")
+            grams_ = sorted({int(v) for n in middle for v in grams.trigram_keys(n)})
+            if len(grams_) <= grams.PUSHED:
+                index = index.where(F.col("gram").isin(grams_))
+            parts.append(grams.trigram_candidates(index, asked).select("shard_id"))
+        return reduce(DataFrame.unionAll, parts) if parts else self.spark.createDataFrame([], "shard_id bigint")
 
     def contains_all(self, needles: list[bytes]) -> list[bool]:
         """Answers for a list, in its order, in one pass."""
@@ -152,14 +223,18 @@ class Index:
         return search.batch_contains(self.segments(), queries, key, needle, self.max_query_bytes())
 
     def batch_pruned(self, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
-        """(key, found) by way of the filters: needles meet only the shards that they may be in."""
-        limit, n = self.max_query_bytes(), F.octet_length(F.col(needle).cast("binary"))
-        asked = queries.where((n > 0) & (n <= limit)) if limit else queries.where(n > 0)
+        """(key, found) by way of the filters: only the segments of shards that some needle may be in are read, each once
+        in a pass. Needles of one or two bytes are searched for everywhere."""
         if self.manifest.shard_count == 1:
             return self.batch(queries, key, needle)
-        pairs = grams.candidates(self.segments(), self._table("trigram"), self._table("ngram"), asked, key, needle)
-        hits = grams.verify(self.segments(), pairs, asked, key, needle).withColumn("__hit", F.lit(True))
-        return queries.select(key).join(hits, key, "left").select(key, F.coalesce("__hit", F.lit(False)).alias("found"))
+        hits = []
+        for some in search.in_passes(search.distinct_needles(queries, needle, self.max_query_bytes())):
+            short, rest = [n for n in some if len(n) < grams.TRIGRAM], [n for n in some if len(n) >= grams.TRIGRAM]
+            if short:
+                hits.append(search.find(self.segments(), short))
+            if rest:
+                hits.append(search.find(grams.in_shards(self.segments(), self.candidate_shards(rest)), rest))
+        return search.answered(queries, hits, key, needle)
 
     def batch_backward(self, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
         """(key, found) by backward search over the stored transforms."""

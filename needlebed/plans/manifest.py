@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from needlebed.errors import IndexFormatError
 
-FORMAT, KIND = 1, "needlebed-index"
+FORMAT, KIND = 2, "needlebed-index"
 
 
 @dataclass

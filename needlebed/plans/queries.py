@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +16,8 @@ from needlebed.operators import bwt, grams, search, segments
 from needlebed.plans import manifest as mf
 from needlebed.plans.index import BuildOptions, build_from, open_index
 from needlebed.shared import by_key, work_path
-from needlebed.sources.tables import from_table, lines_of
+from needlebed.sources.tables import collect_files as collect
+from needlebed.sources.tables import from_table, lines_of, read_files
 from needlebed.streaming.search import answer_stream, answers
 
 SHARD, CHUNK, MAXQ, GUARD, SMALL_EVERY = 65536, 16384, 1024, 128, 8
@@ -70,6 +74,12 @@ def contains_literal(spark, d):
     return one.select(F.explode(F.array(*[F.struct(F.lit(s).alias("needle"), F.col(f"c{i}").alias("found")) for i, s in enumerate(LITERALS)])).alias("r")).select("r.needle", "r.found")
 
 
+def contains_early_exit(spark, d):
+    """One literal after the other, each search ending at its first hit."""
+    docs = _docs(spark, d)
+    return spark.createDataFrame([(s, search.contains_one(docs, s.encode())) for s in LITERALS], "needle string, found boolean")
+
+
 def contains_bytes(spark, d):
     items = _items(spark, d).select(F.hex("needle").alias("needle_hex"), "needle").dropDuplicates(["needle_hex"])
     return search.batch_contains(_spread(_docs(spark, d)), items, "needle_hex")
@@ -80,8 +90,11 @@ def batch_contains(spark, d):
 
 
 def batch_contains_join(spark, d):
-    """The same by Spark's own operators: needles broadcast (their table is small and its size known), contents streamed."""
+    """The same by Spark's own operators: needles broadcast where their measured bytes are few, contents streamed. More
+    needles than that go by the automaton, since Spark has no join by containment but that of all with all."""
     items, docs = _items(spark, d), _spread(_docs(spark, d))
+    if (items.agg(F.sum(F.octet_length("needle"))).first()[0] or 0) > search.NEEDLE_BYTES:
+        return search.batch_contains(docs, items, "item_id")
     hits = docs.join(F.broadcast(items), bf.found_in(F.col("content"), F.col("needle"))).select("item_id").distinct().withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
@@ -162,6 +175,23 @@ def collect_files(spark, d):
     return files.agg(F.count("*").alias("file_count"), F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.count_if(F.col("size") == 0).alias("empty_files"))
 
 
+def list_files(spark, d):
+    """Documents written as files into the shared folder, then listed and read by the tasks."""
+    folder = work_path(spark, "files").removeprefix("file://")
+
+    def write(batches):
+        os.makedirs(folder, exist_ok=True)
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1)):
+                with open(f"{folder}/{i}", "wb") as f:
+                    f.write(body.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    _docs(spark, d).select("file_ord", "content").mapInArrow(write, "n bigint").agg(F.sum("n")).collect()
+    got = read_files(collect(spark, [folder]))
+    return got.select(F.substring_index("path", "/", -1).cast("bigint").alias("doc_id"), "file_ord", "size", F.sha2("content", 256).alias("sha256"))
+
+
 def total_bytes(spark, d):
     return _docs(spark, d).agg(F.sum("size").cast("bigint").alias("total_bytes"))
 
@@ -197,7 +227,8 @@ def trigram_index(spark, d):
 
 
 def ngram_filter_bits(spark, d):
-    return grams.ngram_filter_bits(_sharded(spark, d)).groupBy("shard_id").agg(F.count("*").alias("n_bits_set"), F.sum("bit").cast("bigint").alias("bit_sum"))
+    """From the packed filter, whose bits are counted one by one."""
+    return grams.unpacked(grams.ngram_filter(_sharded(spark, d))).groupBy("shard_id").agg(F.count("*").alias("n_bits_set"), F.sum("bit").cast("bigint").alias("bit_sum"))
 
 
 def trigram_candidates(spark, d):
@@ -219,11 +250,28 @@ def prefilter_route(spark, d):
     return rows.select("item_id", "n", grams.route(F.substring("needle", F.lit(1), F.col("n").cast("int"))).alias("route"))
 
 
+def _routed(segs: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id) of the needles that are in a segment of a shard that their filter leaves; those of one or two bytes are
+    searched for in all."""
+    routed = items.withColumn("route", grams.route(F.col("needle")))
+    long, middle, short = (routed.where(F.col("route") == r) for r in ("ngram", "trigram", "scan"))
+    shards = [grams.trigram_candidates(grams.trigram_index(segs), middle, "item_id").select("shard_id")] if not middle.isEmpty() else []
+    if not long.isEmpty():
+        filters = grams.ngram_filter(segs)
+        path = work_path(segs.sparkSession, "filter")
+        filters.write.option("compression", "zstd").parquet(path)
+        filters = segs.sparkSession.read.parquet(path)
+        shards += [grams.filter_shards(filters, some) for some in search.in_passes(search.distinct_needles(long))]
+    hits = search.batch_contains(segs, short, "item_id")
+    if shards:
+        hits = hits.unionAll(search.batch_contains(grams.in_shards(segs, reduce(DataFrame.unionAll, shards)), long.unionAll(middle), "item_id"))
+    return hits.where("found").select("item_id")
+
+
 def raw_verify(spark, d):
     """Candidates by route, then the bytes; needles over MAXQ in whole documents."""
     segs, items = _stored(spark, d), _items(spark, d)
-    short = items.where(F.octet_length("needle") <= MAXQ)
-    hits = grams.verify(segs, grams.candidates(segs, grams.trigram_index(segs), grams.ngram_filter_bits(segs), short, "item_id"), short, "item_id")
+    hits = _routed(segs, items.where(F.octet_length("needle") <= MAXQ))
     hits = hits.unionByName(_long_in_docs(spark, d).where("found").select("item_id")).withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
@@ -231,8 +279,7 @@ def raw_verify(spark, d):
 def sharded_contains(spark, d):
     """By route, with the limit that an index of several shards has."""
     segs, items = _stored(spark, d), _items(spark, d)
-    pairs = grams.candidates(segs, grams.trigram_index(segs), grams.ngram_filter_bits(segs), items.where(F.octet_length("needle") <= MAXQ), "item_id")
-    hits = grams.verify(segs, pairs, items, "item_id").withColumn("hit", F.lit(True))
+    hits = _routed(segs, items.where(F.octet_length("needle") <= MAXQ)).withColumn("hit", F.lit(True))
     return items.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
@@ -246,7 +293,7 @@ def suffix_array(spark, d):
 
 
 def suffix_array_doubling(spark, d):
-    return bwt.suffix_rows(_spread(_parts(spark, d)), "p_partkey").select("p_partkey", "rk", "pos")
+    return bwt.suffix_doubling(_spread(_parts(spark, d)), "p_partkey").select("p_partkey", "rk", "pos")
 
 
 def bwt_rows(spark, d):
@@ -271,7 +318,7 @@ def occ_rank(spark, d):
 
 def backward_search(spark, d):
     path = work_path(spark, "bwt")  # stored, since many needles are searched for in several passes
-    bwt.build_index(_sharded(spark, d)).select("bwt").write.parquet(path)
+    bwt.build_index(_sharded(spark, d)).write.parquet(path)
     short = _items(spark, d).where(F.coalesce(F.octet_length("needle") <= MAXQ, F.lit(True)))
     return bwt.backward_search(spark.read.parquet(path), short, "item_id").unionByName(_long_in_docs(spark, d))
 
@@ -290,6 +337,28 @@ def index_roundtrip(spark, d):
     return out.join(index.batch_backward(items, "item_id").withColumnRenamed("found", "by_bwt"), "item_id")
 
 
+def index_keys(spark, d):
+    """The three ways with keys that are strings, repeat and are null."""
+    index, items = open_index(spark, _built(spark, d)), _items(spark, d)
+    kind = F.col("item_id") % 3
+    asked = items.select(F.when(kind == 0, F.concat(F.lit("k"), F.col("item_id") % 7)).when(kind == 1, F.concat(F.lit("id "), "item_id")).alias("k"), "needle")
+    asked = asked.unionAll(asked.where("k IS NULL"))
+    out = None
+    for name in ("batch", "batch_pruned", "batch_backward"):
+        got = getattr(index, name)(asked, "k").groupBy("k", "found").agg(F.count("*").alias("n")).select("k", F.lit(name).alias("way"), "found", "n")
+        out = got if out is None else out.unionAll(got)
+    return out
+
+
+def shard_totals(spark, d):
+    """What an open index says of its shards and files, and a single index of the same documents."""
+    single = work_path(spark, "single")
+    m = build_from(_docs(spark, d), single, BuildOptions(max_query_bytes=MAXQ, single=True, with_bwt=False, digest=False))
+    shards = open_index(spark, _built(spark, d)).shards().withColumn("kind", F.lit("sharded"))
+    one = open_index(spark, single).shards().withColumn("kind", F.lit(f"single of {m.shard_count}"))
+    return shards.unionByName(one).select("kind", "shard_id", "file_count", "total_bytes")
+
+
 def shard_manifest(spark, d):
     m = open_index(spark, _built(spark, d)).manifest
     return mf.manifest_frame(spark, m)
@@ -306,11 +375,11 @@ def stream_contains(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        contains_literal, contains_bytes, batch_contains, batch_contains_join, missing_needles, empty_needle, query_length_guard, multi_corpus_contains, no_cross_boundary, batch_lines,
-        chunk_segments, segment_scan, chunk_overlap_contains, plan_shards, shard_stats, shard_size_from_memory, parse_size, format_bytes, collect_files, total_bytes,
+        contains_literal, contains_early_exit, contains_bytes, batch_contains, batch_contains_join, missing_needles, empty_needle, query_length_guard, multi_corpus_contains, no_cross_boundary, batch_lines,
+        chunk_segments, segment_scan, chunk_overlap_contains, plan_shards, shard_stats, shard_size_from_memory, parse_size, format_bytes, collect_files, list_files, total_bytes,
         file_sha256, corpus_sha256, build_metadata, ngram_hash_bits, trigram_index, ngram_filter_bits, trigram_candidates, ngram_candidates, candidate_shards, prefilter_route,
         raw_segments, raw_verify, sharded_contains, suffix_array, suffix_array_doubling, symbol_counts, c_table, rank_checkpoints, occ_rank, backward_search,
-        index_roundtrip, shard_manifest, stream_contains,
+        index_roundtrip, index_keys, shard_totals, shard_manifest, stream_contains,
     )
 } | {"trigram_windows": _windows(3), "ngram_windows": _windows(8), "bwt": bwt_rows}
 
@@ -377,6 +446,7 @@ def _window_sql(n: int) -> str:
 _ITEMS = f"SELECT item_id, {_FOUND} AS found FROM benchmark b"
 ORACLES: dict[str, str] = {
     "contains_literal": "SELECT needle, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, needle)) AS found FROM (VALUES " + ", ".join(f"({_q(s)})" for s in LITERALS) + ") v(needle)",
+    "contains_early_exit": "SELECT needle, EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, needle)) AS found FROM (VALUES " + ", ".join(f"({_q(s)})" for s in LITERALS) + ") v(needle)",
     "contains_bytes": f"SELECT hex(encode(text)) AS needle_hex, {_FOUND} AS found FROM (SELECT DISTINCT text FROM benchmark) b",
     "batch_contains": f"SELECT item_id, CASE WHEN {_FOUND} THEN 'TRUE' ELSE 'FALSE' END AS result FROM benchmark b",
     "batch_contains_join": _ITEMS,
@@ -395,6 +465,7 @@ ORACLES: dict[str, str] = {
     "parse_size": f"SELECT s AS spelling, CASE WHEN regexp_full_match({_SIZE}, '[0-9]+[kKmMgG]?') AND n > 0 THEN n END AS bytes FROM (SELECT s, TRY_CAST(regexp_extract({_SIZE}, '^[0-9]+') AS BIGINT) * CASE upper(right({_SIZE}, 1)) WHEN 'K' THEN 1024 WHEN 'M' THEN 1048576 WHEN 'G' THEN 1073741824 ELSE 1 END AS n FROM (VALUES " + ", ".join(f"({_q(s)})" for s in SPELLINGS) + ") v(s))",
     "format_bytes": f"SELECT n, {_FORMAT} AS text FROM (SELECT DISTINCT unnest([n_chars, n_chars * 1000, n_chars * n_chars * 77]) AS n FROM documents)",
     "collect_files": "SELECT count(*) AS file_count, min(CAST(doc_id AS VARCHAR)) AS first_path, max(CAST(doc_id AS VARCHAR)) AS last_path, count(*) FILTER (text = '') AS empty_files FROM documents WHERE text IS NOT NULL",
+    "list_files": "SELECT doc_id, row_number() OVER (ORDER BY CAST(doc_id AS VARCHAR)) - 1 AS file_ord, CAST(octet_length(encode(text)) AS BIGINT) AS size, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "total_bytes": "SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS total_bytes FROM documents",
     "file_sha256": "SELECT doc_id, sha256(text) AS sha256 FROM documents WHERE text IS NOT NULL",
     "corpus_sha256": "SELECT sha256(string_agg(text, '' ORDER BY doc_id)) AS sha256 FROM documents",
@@ -420,6 +491,8 @@ ORACLES: dict[str, str] = {
     "occ_rank": f"WITH {_SA} SELECT p_partkey, rk, prev AS sym, row_number() OVER (PARTITION BY p_partkey, prev ORDER BY rk) - 1 AS occ FROM sa",
     "backward_search": _ITEMS,
     "index_roundtrip": f"SELECT item_id, found AS by_scan, found AS by_filter, found AS by_bwt FROM (SELECT item_id, octet_length(encode(text)) <= {MAXQ} AND {_FOUND} AS found FROM benchmark b)",
+    "index_keys": f"WITH f AS (SELECT item_id, octet_length(encode(text)) <= {MAXQ} AND {_FOUND} AS found FROM benchmark b), k AS (SELECT CASE item_id % 3 WHEN 0 THEN 'k' || (item_id % 7) WHEN 1 THEN 'id ' || item_id END AS k, found FROM f), a AS (SELECT * FROM k UNION ALL SELECT * FROM k WHERE k IS NULL) SELECT k, way, found, count(*) AS n FROM a, (VALUES ('batch'), ('batch_pruned'), ('batch_backward')) v(way) GROUP BY k, way, found",
+    "shard_totals": f"WITH RECURSIVE {_PLAN} SELECT 'sharded' AS kind, shard_id, count(DISTINCT doc_id) AS file_count, CAST(sum(length) AS BIGINT) AS total_bytes FROM f GROUP BY shard_id UNION ALL SELECT 'single of 1', 0, count(*), CAST(sum(size) AS BIGINT) FROM z",
     "shard_manifest": f"WITH RECURSIVE {_PLAN} SELECT (SELECT count(*) FROM z) AS file_count, (SELECT CAST(sum(size) AS BIGINT) FROM z) AS total_bytes, (SELECT sha256(string_agg(text, '' ORDER BY doc_id)) FROM z) AS sha256, (SELECT max(shard_id) + 1 FROM f) AS shard_count, CAST({SHARD} AS BIGINT) AS shard_size, CAST({MAXQ} AS BIGINT) AS max_query_bytes",
     "stream_contains": _ITEMS,
 }
