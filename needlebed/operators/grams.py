@@ -159,8 +159,9 @@ def filter_shards(filters: DataFrame, needles: list[bytes]) -> DataFrame:
 
     rows = filters.where(F.col("bit").isin(sorted(wanted))).select("shard_id", "bit", "bits")
     had = rows.mapInArrow(run, "shard_id bigint, number bigint, need bigint")
-    one = had.where("need = 1").select("shard_id")
-    return one.unionAll(had.where("need > 1").groupBy("shard_id", "number", "need").agg(F.count("*").alias("had")).where("had = need").select("shard_id"))
+    if all((need == 1).all() for _, need, _, _ in wanted.values()):
+        return had.select("shard_id")
+    return had.groupBy("shard_id", "number", "need").agg(F.count("*").alias("had")).where("had = need").select("shard_id")
 
 
 def _needle_id(c):
@@ -211,11 +212,12 @@ def candidates(shards: DataFrame, trigrams: DataFrame, bits: DataFrame, queries:
 def in_shards(segments: DataFrame, shards: DataFrame) -> DataFrame:
     """The segments of some shards (shard_id): few are pushed down to the scan by their ids, more are a semi-join, whose
     smaller side is broadcast if it is measured to be small."""
-    ids = [r[0] for r in shards.distinct().limit(PUSHED + 1).collect()]
-    if len(ids) <= PUSHED:
-        return segments.where(F.col("shard_id").isin(sorted(ids)))
-    some = shards.distinct().checkpoint() if shared_dir(segments.sparkSession) else shards
-    return segments.join(F.broadcast(some) if some.count() <= BROADCAST_IDS else some, "shard_id", "left_semi")
+    shared_dir(segments.sparkSession)
+    some = shards.distinct().checkpoint()
+    n = some.count()
+    if n <= PUSHED:
+        return segments.where(F.col("shard_id").isin(sorted(r[0] for r in some.collect())))
+    return segments.join(F.broadcast(some) if n <= BROADCAST_IDS else some, "shard_id", "left_semi")
 
 
 def verify(segments: DataFrame, pairs: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
