@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from needlebed.llm.common import fresh, need
@@ -119,11 +120,13 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ranks_path: str = RANKS_
 
     Each text is decoded again, and ``round_trip`` says whether the very text came out. Whole texts are encoded,
     whatever their length; the empty text has no tokens; a null text has null in all three columns. Special tokens'
-    strings are ordinary text. Rows are handled one by one. New names get underscores in front where ``docs`` has
-    such columns. The vocabulary is read on the driver and broadcast: some megabytes, whatever the data.
+    strings are ordinary text. Bytes that aren't UTF-8 are encoded as U+FFFD, and such a text's ``round_trip`` is false.
+    Rows are handled one by one, repeated rows each. New names get underscores in front where ``docs`` has such
+    columns. An empty table gives an empty table. The vocabulary is read on the driver and broadcast: some megabytes,
+    whatever the data.
     """
     need(docs, text_col)
-    names = fresh(docs, "tokens", "n_tokens", "round_trip")
+    *names, raw = fresh(docs, "tokens", "n_tokens", "round_trip", "bpe_bytes")
     keep = [c for c in docs.columns if not (drop_text and c == text_col)]
     shared = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
 
@@ -131,7 +134,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ranks_path: str = RANKS_
         ranks = shared.value
         words, table, split = Words(ranks), token_table(ranks), regex.compile(pattern).findall
         for batch in batches:
-            texts, start = batch.column(batch.schema.get_field_index(text_col)), 0
+            texts, start = batch.column(len(keep)), 0
             kept = batch.select(keep)
             while start < len(texts):
                 found, right, chars, at = [], [], 0, start
@@ -143,9 +146,9 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ranks_path: str = RANKS_
                         right.append(None)
                         continue
                     chars += len(text)
-                    tokens = encode_text(text, words, split)
+                    tokens = encode_text(text.decode(errors="replace"), words, split)
                     found.append(tokens)
-                    right.append(decode_tokens(tokens.tolist(), table) == text.encode())
+                    right.append(decode_tokens(tokens.tolist(), table) == text)
                 ends = np.cumsum([0] + [0 if t is None else len(t) for t in found])
                 flat = np.concatenate([t for t in found if t is not None] or [np.empty(0, np.int32)])
                 off = pa.array(ends, pa.int32(), mask=np.array([t is None for t in found] + [False]))
@@ -159,7 +162,7 @@ def bpe_encode(docs: DataFrame, text_col: str = "text", ranks_path: str = RANKS_
 
     fields = [f for f in docs.schema.fields if f.name in keep]
     added = [T.StructField(names[0], T.ArrayType(T.IntegerType())), T.StructField(names[1], T.IntegerType()), T.StructField(names[2], T.BooleanType())]
-    return docs.select(*(keep if text_col in keep else [*keep, text_col])).mapInArrow(run, T.StructType([*fields, *added]))
+    return docs.select(*keep, F.col(text_col).cast("binary").alias(raw)).mapInArrow(run, T.StructType([*fields, *added]))
 
 
 def bpe_decode(encoded: DataFrame, tokens_col: str = "tokens", out_col: str = "text", ranks_path: str = RANKS_PATH) -> DataFrame:
