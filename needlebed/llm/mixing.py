@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from needlebed.llm.common import cut, fresh, id_key, need
+from needlebed.llm.common import cut, fresh, id_key, need, small_enough
 
 SEED = 17
 #: Parts, by hash, of the documents of one source and length, so that a common length is no single task's work.
@@ -76,16 +76,20 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     decides, but at least this ``share`` of all tokens of sources with a weight. ``weights`` are by source; others have ``default_weight``, rows with a null source together too. A weight of 0 or less takes none of
     that source. Rows without tokens (null, empty and blank texts) add nothing to any budget and aren't selected.
     Repeated rows are rows like others, each counted and taken for itself; where a tie of equal hashes has to be
-    split, the order of the ids and then of the other columns decides. An empty table gives an empty table.
+    split, the order of the ids and then of the other columns decides. A text is counted whole, however long; bytes that
+    aren't UTF-8 are part of words. An empty table gives an empty table. Texts aren't shuffled: the choice is made on
+    hashes, and each row is held against the last hash of its source and length.
     """
     need(docs, source_col, id_col, text_col)
     out = tokens_out or fresh(docs, "n_tokens")[0]
     if tokens_out and tokens_out in docs.columns:
         raise ValueError(f"there is a column {tokens_out}")
-    src, part, hsh, take, rn = fresh(docs.withColumn(out, F.lit(0)), "mix_source", "mix_part", "mix_hash", "mix_take", "mix_rn")
+    src, part, hsh, last, edge, over, same, rn = fresh(docs.withColumn(out, F.lit(0)), "mix_source", "mix_part", "mix_hash", "mix_last", "mix_edge", "mix_over", "mix_same", "mix_rn")
     base = docs.withColumn(out, word_tokens(F.col(text_col)) if tokens is None else tokens).where(F.col(out) > 0)
     base = base.withColumn(src, id_key(F.col(source_col))).withColumn(hsh, F.xxhash64(F.lit(seed), id_col, text_col)).withColumn(part, F.pmod(F.col(hsh), F.lit(PARTS)).cast("int"))
-    cells = cut(base.groupBy(F.col(src).alias("src"), F.col(out).alias("n"), F.col(part).alias("part")).agg(F.count("*").alias("c")))
+    # Source, length and hash of each document: all that the choice needs, so no text is shuffled.
+    narrow = cut(base.select(F.col(src).alias("src"), F.col(out).alias("n"), F.col(part).alias("part"), F.col(hsh).alias("h")))
+    cells = cut(narrow.groupBy("src", "n", "part").agg(F.count("*").alias("c")))
     hist = cells.groupBy("src", "n").agg(F.sum("c").alias("c"))
     weight = F.lit(float(default_weight))
     for name, w in (weights or {}).items():
@@ -111,10 +115,24 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
         return rows.loc[rows["take"] > 0, ["src", "n", "take"]]
 
     taken = hist.join(goal, "src").groupBy("src").applyInPandas(chosen, "src string, n bigint, take bigint")
+    # Parts are taken whole up to the last one of a source and length; of that one, what comes first by hash.
     run = Window.partitionBy("src", "n").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    split = cells.join(taken, ["src", "n"]).withColumn("left", F.col("take") - F.coalesce(F.sum("c").over(run), F.lit(0)))
-    split = split.where("left > 0").select(F.col("src").alias(src), F.col("n").alias(out), F.col("part").alias(part), F.least("left", "c").alias(take))
-    order = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
-    rank = Window.partitionBy(src, out, part).orderBy(hsh, id_col, *order)
-    rows = base.join(split, [src, out, part]).withColumn(rn, F.row_number().over(rank)).where(F.col(rn) <= F.col(take))
-    return rows.select(*docs.columns, *([out] if tokens_out else []))
+    held = cells.join(taken, ["src", "n"]).withColumn("left", F.col("take") - F.coalesce(F.sum("c").over(run), F.lit(0))).where("left > 0")
+    lasts = cut(held.groupBy("src", "n").agg(F.max("part").alias("part"), F.max_by("left", "part").alias("left"), F.max_by("c", "part").alias("c")))
+    n_lasts = lasts.count()
+    split = narrow.join(small_enough(lasts.where("left < c"), n_lasts, 64), ["src", "n", "part"]).groupBy("src", "n", "left", "h").agg(F.count("*").alias("same"))
+    split = split.withColumn("upto", F.sum("same").over(Window.partitionBy("src", "n").orderBy("h"))).where("upto >= left")
+    edges = split.groupBy("src", "n").agg(F.min("h").alias("edge"), F.min_by(F.col("upto") - F.col("left"), "h").alias("over"), F.min_by("same", "h").alias("same"))
+    rule = cut(lasts.select("src", "n", "part").join(edges, ["src", "n"], "left").select(F.col("src").alias(src), F.col("n").alias(out), F.col("part").alias(last), F.col("edge").alias(edge), F.coalesce("over", F.lit(0)).alias(over), F.col("same").alias(same)))
+    n_ties = rule.agg(F.count_if(F.col(over) > 0)).first()[0]
+    rows = base.join(small_enough(rule, n_lasts, 96), [src, out])
+    at_edge = (F.col(part) == F.col(last)) & (F.col(hsh) == F.col(edge)) & (F.col(over) > 0)
+    inside = (F.col(part) < F.col(last)) | ((F.col(part) == F.col(last)) & (F.col(edge).isNull() | (F.col(hsh) <= F.col(edge))))
+    names = [*docs.columns, *([out] if tokens_out else [])]
+    chosen_rows = rows.where(inside & ~F.coalesce(at_edge, F.lit(False))).select(*names)
+    if n_ties:
+        order = [F.col(c).cast("string") for c in docs.columns if c not in (id_col, text_col)]
+        rank = Window.partitionBy(src, out).orderBy(F.col(id_col), *order)
+        ties = rows.where(at_edge).withColumn(rn, F.row_number().over(rank)).where(F.col(rn) <= F.col(same) - F.col(over))
+        chosen_rows = chosen_rows.unionAll(ties.select(*names))
+    return chosen_rows
