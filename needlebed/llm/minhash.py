@@ -2,8 +2,9 @@
 
 A document is its set of hashed shingles of three words; its sketch holds the k smallest. Documents with the same set
 are one from the start. Retained values are inverted into lists. Two sketches that can pass the filter share at least
-c values, so each only enters its |sketch| - c + 1 rarest values, and any such pair still meets in a list, while values
-that thousands of documents share aren't looked up. Overlaps are turned into an estimate over the union sketch, which
+c values, so each only enters its |sketch| - c + t rarest values, and any such pair still meets in t lists, while values
+that thousands of documents share aren't looked up. Pairs that meet in fewer, or whose sets differ too much in size to
+reach the threshold, go no further. Overlaps are turned into an estimate over the union sketch, which
 filters; the exact Jaccard of the whole sets decides. Every set is first held against one hub, the smallest set of the
 lists it is in; that joins most of a group, of thousands too, with as many verdicts as it has members. Then groups
 that still meet in a list are compared in tiles: a set goes once to a tile, not once for each pair it is in, and two
@@ -32,6 +33,10 @@ SLACK = 3.0
 BATCH_CHARS = 1 << 20
 #: Members, about, at which a group is compared in parts; sketches and sets that a tile holds; pairs in one numpy step.
 BLOCK, SKETCHES, SETS, PAIRS = 2048, 8192, 2048, 8192
+#: Values of a set that count as one set of a tile, so that long documents fill tiles by their length.
+VALUES = 1024
+#: Rarest values that two sketches have to share before they are compared, where they need so many to pass at all.
+OVERLAP = 3
 NONE = np.iinfo(np.int64).max
 
 def shingle_sets(texts: list[str], n: int = WORDS) -> list[np.ndarray]:
@@ -59,7 +64,8 @@ def set_id(s: np.ndarray) -> int:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, k: int) -> DataFrame:
-    """(id, th, eid, sketch): the document's id and a hash of its text, the id of its set, its sketch; rows without words left out."""
+    """(id, th, eid, size, sketch): the document's id and a hash of its text, the id and the size of its set, its sketch; rows
+    without words left out."""
     kind = docs.schema[id_col].dataType
 
     def run(batches):
@@ -71,9 +77,9 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, n: int, k: int) -> Dat
                     rows = pa.array([start + i for i in full])
                     off = np.cumsum([0] + [min(k, len(sets[i])) for i in full])
                     flat = np.concatenate([sets[i][:k] for i in full])
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([set_id(sets[i]) for i in full]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], ["id", "th", "eid", "sketch"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array([set_id(sets[i]) for i in full]), pa.array([len(sets[i]) for i in full]), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat))], ["id", "th", "eid", "size", "sketch"])
 
-    schema = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("eid", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", kind), T.StructField("th", T.LongType()), T.StructField("eid", T.LongType()), T.StructField("size", T.LongType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
     return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, schema)
 
 
@@ -186,28 +192,37 @@ def _judged(links: DataFrame, units: DataFrame, n: int, of, tile: int, k: int, l
     return every.repartition("tile").sortWithinPartitions("tile", "kind").mapInArrow(lambda it: _linked(it, k, least, threshold), "a bigint, b bigint, ua bigint, ub bigint")
 
 
-def candidate_lists(entities: DataFrame, least: float) -> DataFrame:
-    """(value, eid): the inverted lists of the values that can bring a pair together, by the rule of the rarest values."""
+def _least_shared(size, least: float):
+    """Values that a sketch of so many shares with any that passes."""
+    return F.greatest(F.lit(1), F.ceil(size * F.lit(least) - F.lit(1e-9)))
+
+
+def candidate_lists(entities: DataFrame, least: float, overlap: int = OVERLAP) -> DataFrame:
+    """(value, eid): the inverted lists of the values that can bring a pair together, by the rule of the rarest values:
+    two sketches that pass meet in ``overlap`` lists, or in as many as the shorter must share if that is fewer."""
     rows = entities.select("eid", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
     rows = rows.withColumn("df", F.count("*").over(Window.partitionBy("value"))).where("df > 1")
     own = Window.partitionBy("eid")
     rows = rows.withColumn("m", F.count("*").over(own)).withColumn("rn", F.row_number().over(own.orderBy("df", "value")))
-    c = F.greatest(F.lit(1), F.ceil(F.col("k") * F.lit(least) - F.lit(1e-9)))
-    kept = rows.where(F.col("rn") <= F.col("m") - c + 1).select("value", "eid")
+    c = _least_shared(F.col("k"), least)
+    kept = rows.where((F.col("m") >= c) & (F.col("rn") <= F.col("m") - c + F.least(c, F.lit(overlap)))).select("value", "eid")
     return kept.withColumn("n", F.count("*").over(Window.partitionBy("value"))).where("n > 1").drop("n")
 
 
 def _units(parts: DataFrame) -> DataFrame:
-    """(eid, c, u): groups (eid, c) with their units: a group, or a part of one that has more than BLOCK members."""
+    """(eid, size, c, u): groups (eid, size, c) with their units: a group, or a part of one that has more than BLOCK members."""
     n = F.ceil(F.count("*").over(Window.partitionBy("c")) / BLOCK)
-    return parts.withColumn("n", n).select("eid", "c", F.when(F.col("n") > 1, F.xxhash64("c", F.pmod(F.xxhash64("eid"), F.col("n")))).otherwise(F.col("c")).alias("u"))
+    return parts.withColumn("n", n).select("eid", "size", "c", F.when(F.col("n") > 1, F.xxhash64("c", F.pmod(F.xxhash64("eid"), F.col("n")))).otherwise(F.col("c")).alias("u"))
 
 
-def _apart(lists: DataFrame, units: DataFrame) -> DataFrame:
-    """(ua, ub): the units of different groups of which members meet in a list."""
-    at = lists.join(units, "eid").select("value", "c", "u").distinct()
-    one, two = (at.select("value", F.col("c").alias("c" + x), F.col("u").alias("u" + x)) for x in ("a", "b"))
-    return one.join(two, "value").where("ca < cb").select("ua", "ub").distinct()
+def _apart(lists: DataFrame, units: DataFrame, k: int, least: float, threshold: float, overlap: int = OVERLAP) -> DataFrame:
+    """(ua, ub): the units of different groups of which members meet in enough lists, and are near enough in size."""
+    t = F.least(F.lit(overlap), _least_shared(F.least("size", F.lit(k)), least))
+    at = lists.join(units, "eid").groupBy("value", "c", "u").agg(F.min("size").alias("lo"), F.max("size").alias("hi"), F.min(t).alias("t"))
+    one, two = (at.select("value", *(F.col(n).alias(n + x) for n in ("c", "u", "lo", "hi", "t"))) for x in ("a", "b"))
+    sizes = (F.col("hia") >= F.col("lob") * threshold - 1e-9) & (F.col("hib") >= F.col("loa") * threshold - 1e-9)
+    met = one.join(two, "value").where((F.col("ca") < F.col("cb")) & sizes).groupBy("ua", "ub").agg(F.count("*").alias("met"), F.min(F.least("ta", "tb")).alias("t"))
+    return met.where("met >= t").select("ua", "ub")
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
@@ -218,8 +233,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lists = cut(candidate_lists(rows.select("eid", "sketch").dropDuplicates(["eid"]), least))
     some = cut(lists.select("eid").distinct())
     n_some = some.count()
-    inside = rows.join(small_enough(some, n_some, 16), "eid", "left_semi").groupBy("eid").agg(F.min("id").alias("id"), F.first("sketch").alias("v"))
-    inside = cut(inside.select("eid", id_key(F.col("id")).alias("key"), "v"))
+    inside = rows.join(small_enough(some, n_some, 16), "eid", "left_semi").groupBy("eid").agg(F.min("id").alias("id"), F.first("size").alias("size"), F.first("sketch").alias("v"))
+    inside = cut(inside.select("eid", id_key(F.col("id")).alias("key"), "size", "v"))
+    n_sets = max(n_some, (inside.agg(F.sum("size")).first()[0] or 0) // VALUES)
 
     # The whole sets of the documents that stand for those asked for; one that comes twice does no harm. They are
     # made anew for each use, from no more texts than it needs: to keep them all would take as much room as the texts.
@@ -240,12 +256,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = by_hub.withColumn("rn", F.row_number().over(Window.partitionBy("eid").orderBy(F.desc("met"), "hub"))).where("rn = 1").select("eid", "hub")
     own = some.select("eid", F.col("eid").alias("u"))
     sketched = lambda links, units: cut(_judged(links, units, n_some, lambda *_: inside.select("eid", "v"), SKETCHES, k, least).select("ua", "ub"))
-    proved = lambda links, units: cut(_judged(links, units, n_some, sets_of, SETS, k, least, threshold).select("a", "b"))
+    proved = lambda links, units: cut(_judged(links, units, n_sets, sets_of, SETS, k, least, threshold).select("a", "b"))
     edges = proved(sketched(cut(best.select(F.col("hub").alias("ua"), F.col("eid").alias("ub"))), own), own)
     # What is still apart, group against group: first by the sketches, then by the sets.
     found = connected_components(edges).select(F.col("node").alias("eid"), F.col("component").alias("c"))
-    units = cut(_units(some.join(found, "eid", "left").withColumn("c", F.coalesce("c", "eid"))))
-    more = proved(sketched(cut(_apart(lists, units)), units.drop("c")), units.drop("c"))
+    units = cut(_units(inside.select("eid", "size").join(found, "eid", "left").withColumn("c", F.coalesce("c", "eid"))))
+    more = proved(sketched(cut(_apart(lists, units, k, least, threshold)), units.drop("c")), units.drop("c"))
     named = connected_components(edges.unionAll(more)).select(F.col("node").alias("eid"), F.col("component").alias("grp"))
     return rows.select("id", "th", "eid").join(named, "eid", "left").withColumn("grp", F.coalesce("grp", "eid"))
 
@@ -257,7 +273,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     components of such pairs. The row with the smallest id of a group stays; null ids come last; of rows with the same
     id the one whose text has the smallest hash, and of wholly repeated rows one. Rows without words (null, empty and
     blank texts) resemble nothing and all stay. Case and blanks make no difference. An empty table gives an empty
-    table. Sets and values are told apart by 64-bit hashes.
+    table. Texts are taken whole, however long; bytes that aren't UTF-8 count as U+FFFD. Columns of any names may come
+    along. Sets and values are told apart by 64-bit hashes.
     """
     groups = near_groups(docs, id_col, text_col, n, k, threshold).withColumn("key", id_key(F.col("id")))
     first = Window.partitionBy("grp").orderBy(F.col("id").asc_nulls_last(), "th")

@@ -104,7 +104,8 @@ def edited(text, seed, n):
 
 
 def brute_groups(texts, threshold=minhash.THRESHOLD):
-    sets = [frozenset(minhash.shingle_sets([t or ""])[0].tolist()) for t in texts]
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set() for w in words]
     up = list(range(len(texts)))
 
     def top(i):
@@ -131,7 +132,7 @@ def test_near_dedup_against_brute_force(spark):
     random.Random(5).shuffle(texts)
     got = ids(minhash.near_dedup(docs_of(spark, texts)))
     want = brute_groups(texts)
-    assert len(set(got) ^ set(want)) <= 0.02 * len(want)
+    assert got == want
     assert all(i in got for i, t in enumerate(texts) if not (t or "").split())
 
 
@@ -152,6 +153,33 @@ def test_near_dedup_tiles_link_groups_that_no_hub_joins(spark):
     assert brute_groups(texts) == [0] == ids(minhash.near_dedup(docs_of(spark, texts)))
 
 
+def test_near_dedup_compares_what_can_pass_only(spark):
+    """Of documents from stock passages, all pairs over the threshold are candidates; a long one isn't held against short ones."""
+    rnd, stock = random.Random(8), [prose(100 + i, 20) for i in range(30)]
+    texts = [" ".join(rnd.sample(stock, 8)) for _ in range(60)] + [" ".join(stock[:3]) + f" x{i}" for i in range(6)] + [" ".join(stock)]
+    rows = minhash.sketches(docs_of(spark, texts), "doc_id", "text", 3, 64).cache()
+    least = 0.5 - 3 * (0.25 / 64) ** 0.5
+    lists = minhash.candidate_lists(rows.select("eid", "sketch"), least)
+    units = rows.select("eid", "size", F.col("eid").alias("c"), F.col("eid").alias("u"))
+    of = {r.eid: r.id for r in rows.collect()}
+    got = {tuple(sorted((of[r.ua], of[r.ub]))) for r in minhash._apart(lists, units, 64, least, 0.5).collect()}
+    sets = minhash.shingle_sets(texts)
+    alike = {(i, j) for j in range(len(texts)) for i in range(j) if minhash.jaccard(sets[i], sets[j]) >= 0.5}
+    assert alike <= got and len(alike) > 15
+    assert not [p for p in got if len(sets[p[0]]) < 0.5 * len(sets[p[1]]) or len(sets[p[1]]) < 0.5 * len(sets[p[0]])]
+
+
+def test_near_dedup_leaves_out_pairs_that_share_a_shingle_or_two(spark):
+    """Candidates don't grow with the square of the documents that share a short phrase."""
+    n_pairs = []
+    for n in (60, 120):
+        texts = [prose(300 + i, 40) + f" {i} in any case this {i}" for i in range(n)]
+        rows = minhash.sketches(docs_of(spark, texts), "doc_id", "text", 3, 64).cache()
+        units = rows.select("eid", "size", F.col("eid").alias("c"), F.col("eid").alias("u"))
+        n_pairs.append(minhash._apart(minhash.candidate_lists(rows.select("eid", "sketch"), 0.3125), units, 64, 0.3125, 0.5).count())
+    assert n_pairs == [0, 0]
+
+
 def test_near_dedup_edges(spark):
     a = prose(3, 50)
     rows = [(5, a), (5, a), (None, a), (2, edited(a, 1, 2)), (2, "unlike"), (9, "the end"), (9, "the end")]
