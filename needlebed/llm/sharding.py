@@ -22,7 +22,9 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def slot_bytes(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """(slot, bytes, records) of every slot, those without records too. A null text has 0 bytes."""
+    """(slot, bytes, records) of every slot, those without records too. A null or empty text has 0
+    bytes, one of any length all of its bytes, UTF-8 or not. Repeated rows count each; a null key counts as the empty
+    string. An empty table gives 0 for every slot. Other columns, whatever their names, aren't read."""
     need(docs, key_col, text_col)
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("bigint")
     used = docs.select(slot_of(F.col(key_col), slots).alias("slot"), size.alias("size")).groupBy("slot").agg(F.sum("size").alias("bytes"), F.count("*").alias("records"))

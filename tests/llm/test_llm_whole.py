@@ -1,5 +1,8 @@
 """Inputs of which a smaller rule would lose a part."""
 
+import html as pyhtml
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +40,45 @@ def test_html_keeps_pages_whose_head_or_drawing_is_not_closed(spark):
     assert texts_of(spark, f"<p>x</p><script>{LONG}", f"<!-- {LONG}") == ["", ""]
 
 
+def test_html_decodes_every_reference_once(spark):
+    """Against the decoder of Python's library."""
+    plain = "caf&eacute; na&#239;ve it&#8217;s &#x1F600; &amp;lt; &amp;amp; AT&T x&y &nosuch; &#; &#xZ; &copy 5 &notit; &#128; &#0; &#1114112; &#xD800; &#99999999999999999999; fish & chips &lt;b&gt; &quot;"
+    names = " ".join("&" + n for n in sorted(html5) if n.endswith(";") and not html5[n].isspace() and "\u200b" not in html5[n])
+    want = lambda t: " ".join(pyhtml.unescape(t).replace("\xa0", " ").split())
+    assert texts_of(spark, f"<p>{plain} {LONG}</p>", f"<p>{names}</p>") == [want(f"{plain} {LONG}"), want(names)]
+
+
+def test_html_replaces_a_column_of_that_name(spark):
+    df = spark.createDataFrame([(1, f"<p>{LONG}", "old", 7)], "page_id bigint, html string, text string, needlebed_lines int")
+    got = html_extract.extract_text(df)
+    assert got.columns == df.columns and got.first()[2:] == (LONG.strip(), 7)
+
+
+def test_mix_against_brute_force(spark):
+    """Which rows, with repeated ones and ties that are split: by part, hash, id, then the other columns."""
+    rows = [(i % 150, " ".join(["w"] * (1 + i % 7)) + f" {i % 40}", f"s{i % 2}", i // 150) for i in range(600)] + [(7, "same text", "s0", 9)] * 25
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, k int")
+    hashed = df.withColumn("h", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text")).collect()
+    for share in (0.1, 0.37, 0.8):
+        total = {s: sum(len(r["text"].split()) for r in hashed if r["source"] == s) for s in ("s0", "s1")}
+        largest, weights = int(min(total["s0"] / 3, total["s1"]) * 4), {"s0": 3.0, "s1": 1.0}
+        budget = max(largest, int(sum(total.values()) * share))
+        parts = {"s0": min(total["s0"], budget * 3 // 4), "s1": min(total["s1"], budget // 4)}
+        parts = {s: max(parts[s], min(total[s], budget - total[o])) if total[o] <= budget * weights[o] / 4 else parts[s] for s, o in (("s0", "s1"), ("s1", "s0"))}
+        want = []
+        for s, part in parts.items():
+            cells = {}
+            for r in hashed:
+                if r["source"] == s:
+                    cells.setdefault(len(r["text"].split()), []).append(r)
+            lengths = sorted(cells)
+            take, _ = mixing.fit(lengths, [len(cells[n]) for n in lengths], part)
+            for n, t in zip(lengths, take):
+                want += sorted(cells[n], key=lambda r: (r["h"] % mixing.PARTS, r["h"], r["doc_id"], r["source"], str(r["k"])))[:t]
+        got = mixing.mix_sources(df, weights, share=share).collect()
+        assert sorted(map(tuple, got)) == sorted(tuple(r)[:4] for r in want)
+
+
 def test_mix_is_not_as_small_as_its_scarcest_source(spark, tmp_path):
     """One document of a null source and one of a tiny one, beside three that are large."""
     rows = [(i, " ".join(["w"] * (1 + i % 29)), f"src{i % 3}") for i in range(1500)] + [(9000, "a b c", None), (9001, "a b c d", "tiny")]
