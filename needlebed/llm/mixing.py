@@ -85,10 +85,11 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, budget
     if tokens_out and tokens_out in docs.columns:
         raise ValueError(f"there is a column {tokens_out}")
     src, part, hsh, last, edge, over, same, rn = fresh(docs.withColumn(out, F.lit(0)), "mix_source", "mix_part", "mix_hash", "mix_last", "mix_edge", "mix_over", "mix_same", "mix_rn")
-    base = docs.withColumn(out, word_tokens(F.col(text_col)) if tokens is None else tokens).where(F.col(out) > 0)
+    # Never null, so that no filter counts a text once more; documents without tokens have no part in any rule.
+    base = docs.withColumn(out, F.coalesce(word_tokens(F.col(text_col)) if tokens is None else tokens, F.lit(0)))
     base = base.withColumn(src, id_key(F.col(source_col))).withColumn(hsh, F.xxhash64(F.lit(seed), id_col, text_col)).withColumn(part, F.pmod(F.col(hsh), F.lit(PARTS)).cast("int"))
     # Source, length and hash of each document: all that the choice needs, so no text is shuffled.
-    narrow = cut(base.select(F.col(src).alias("src"), F.col(out).alias("n"), F.col(part).alias("part"), F.col(hsh).alias("h")))
+    narrow = cut(base.select(F.col(src).alias("src"), F.col(out).alias("n"), F.col(part).alias("part"), F.col(hsh).alias("h"))).where("n > 0")
     cells = cut(narrow.groupBy("src", "n", "part").agg(F.count("*").alias("c")))
     hist = cells.groupBy("src", "n").agg(F.sum("c").alias("c"))
     weight = F.lit(float(default_weight))
