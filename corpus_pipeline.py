@@ -16,27 +16,31 @@ from needlebed.llm.queries import MIX, MIX_SHARE
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on ``labels``, rejects go."""
+    """Documents that the classifier, trained on ``labels``, rejects go. Nulls, empty, very long and repeated texts and tables without rows
+    are as ``quality_filter`` and ``score_quality`` say; ties at the threshold stay."""
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays."""
+    """One document of each text stays, the one with the smallest id; what nulls, repeated rows and clashing names give is in
+    ``exact_dedup``."""
     return exact_dedup(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One document of each group of near copies stays; nulls, texts without words, ties and repeated rows are as
+    ``near_dedup`` says."""
     return near_dedup(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A part of all tokens, of each source as many as its weight gives it, or all if it has less."""
+    """A part of all tokens, of each source as many as its weight gives it, or all if it has less. Texts
+    without tokens go; null sources, ties and repeated rows are as ``mix_sources`` says."""
     return mix_sources(docs, MIX, share=MIX_SHARE)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokens take the place of the text."""
+    """Tokens take the place of the text; a null text has null tokens, an empty one none, as ``bpe_encode`` says."""
     return bpe_encode(docs)
 
 
