@@ -451,6 +451,28 @@ def test_lm_works_in_blocks(monkeypatch):
     assert np.allclose(lm.log_probs(model, *args), want, atol=1e-6)
 
 
+@pytest.mark.parametrize("common", [1 << 20, 40, 0])
+def test_lm_every_word_has_its_own_part_of_its_outcome(spark, monkeypatch, common):
+    """Against counts by hand, with words whose counts are broadcast, looked up in parts, or missing."""
+    for name, value in (("COMMON", common), ("FEW_WORDS", 500), ("HELD_WORDS", 100), ("ROW_WORDS", 16)):
+        monkeypatch.setattr(lm, name, value, raising=False)
+    texts = [prose(i, 60) for i in range(60)] + ["rare " * 9 + "once", None, "", prose(0, 60)]
+    model = lm.train_lm(docs_of(spark, texts).repartition(3), max_width=2, max_bits=10)
+    held = texts + ["rare", "once", "never heard of", "rare"]
+    got = {r["doc_id"]: r for r in lm.score_lm(docs_of(spark, held).repartition(4), model).collect()}
+    n, own = Counter(w for t in texts if t for w in t.split()), lm.own_outcomes(2)
+    of = {w: int(model.outcomes(lm.short_hashes([w])[0])[0]) for w in {*n, "never", "heard", "of"}}
+    sizes = Counter()
+    for w in n:
+        sizes[of[w]] += n[w]
+    assert len(got) == len(held) and len([w for w in n if of[w] >= own]) > 300
+    for i, t in enumerate(held):
+        word, starts = lm.short_hashes([t or ""])
+        want = lm.log_probs(model, word, model.outcomes(word), starts).sum() + sum(np.log((n[w] or 1) / (sizes[of[w]] + 1)) for w in (t or "").split() if of[w] >= own)
+        assert got[i]["n_tokens"] == len(word) and got[i]["log_prob"] == pytest.approx(want, abs=1e-4), t
+        assert got[i]["perplexity"] == (pytest.approx(np.exp(-want / len(word)), rel=1e-4) if len(word) else None)
+
+
 def test_lm_counts_and_no_words(spark):
     texts = [prose(i, 50) for i in range(30)] + [None, ""]
     want = Counter(w for t in texts if t for w in t.split())
