@@ -123,7 +123,7 @@ def build_from(files: DataFrame, out: str, options: BuildOptions | None = None,
         _watched(spark, tell, Progress("shards", "sorting shards", 0, n_shards, 0, held), lambda: bwt.build_index(stored, opt.check_every).write.parquet(f"{out}/bwt"))
     sha = []
     if opt.digest:
-        _watched(spark, tell, Progress("hash", "hashing the corpus", 0, n_files, 0, total), lambda: sha.append(corpus_sha256(files)))
+        _watched(spark, tell, Progress("hash", "hashing the corpus", 0, n_files, 0, total), lambda: sha.append(corpus_sha256(files, planned.select("file_ord", F.col("length").alias("size")))))
     # The table of the plan has every shard and file; the manifest names them while they are few.
     shards, names = [], []
     if n_shards <= LISTED and n_files <= LISTED:

@@ -8,12 +8,14 @@ import uuid
 from dataclasses import asdict, dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from needlebed.errors import IndexFormatError
 
 FORMAT, KIND = 2, "needlebed-index"
+#: Bytes of content, about, that one task adds to the corpus's digest; the property by which its state goes to the next.
+DIGEST_BYTES, STATE = 256 << 20, "needlebed.digest.state"
 
 
 @dataclass
@@ -70,22 +72,112 @@ def file_sha256(files: DataFrame) -> DataFrame:
     return files.select("file_ord", F.sha2("content", 256).alias("sha256"))
 
 
-def corpus_sha256(files: DataFrame) -> str:
-    """SHA-256 of all contents one after another, in order, with nothing between. The state of the hash goes from
-    content to content, so one task reads them all, in order, a batch at a time."""
-    import hashlib
+def _libcrypto():
+    """OpenSSL's library, which Python's own hashes are from, or None if it hasn't the calls with an open state."""
+    import ctypes
+    import ctypes.util
+
+    try:
+        import _hashlib
+
+        names = [_hashlib.__file__]
+    except (ImportError, AttributeError):
+        names = []
+    for name in [*names, ctypes.util.find_library("crypto")]:
+        try:
+            lib = ctypes.CDLL(name) if name else None
+            if lib is not None and all(hasattr(lib, f"SHA256_{f}") for f in ("Init", "Update", "Final")):
+                lib.SHA256_Update.argtypes = [ctypes.c_void_p, ctypes.c_char_p, ctypes.c_size_t]
+                return lib
+        except OSError:
+            pass
+    return None
+
+
+class Sha256:
+    """SHA-256 whose state is 112 bytes, the context of OpenSSL, that another process can go on with."""
+
+    def __init__(self, state: bytes = b""):
+        import ctypes
+
+        self.lib, self.context = _libcrypto(), ctypes.create_string_buffer(state or 112, 112)
+        if not state:
+            self.lib.SHA256_Init(self.context)
+
+    def update(self, data: bytes) -> None:
+        self.lib.SHA256_Update(self.context, data, len(data))
+
+    def state(self) -> bytes:
+        return self.context.raw
+
+    def digest(self) -> bytes:
+        import ctypes
+
+        out, end = ctypes.create_string_buffer(32), ctypes.create_string_buffer(self.state(), 112)
+        self.lib.SHA256_Final(out, end)
+        return out.raw
 
+
+def _range_of(order, bounds: list[int], first: int = 0):
+    """The number of the range that an order is in, by halving; ``bounds`` are where all ranges but the first begin."""
+    if not bounds:
+        return F.lit(first)
+    half = len(bounds) // 2
+    return F.when(order < bounds[half], _range_of(order, bounds[:half], first)).otherwise(_range_of(order, bounds[half + 1 :], first + half + 1))
+
+
+def digest_bounds(sizes: DataFrame, most: int) -> list[int]:
+    """Where the ranges of the order begin, but the first, so that each has up to ``most`` bytes and what one order has.
+    One task goes through the orders and lengths."""
+    upto = F.sum("size").over(Window.orderBy(F.col("file_ord").asc_nulls_last()))
+    ranges = sizes.select("file_ord", F.floor((upto - 1) / most).alias("r")).where("file_ord IS NOT NULL").groupBy("r").agg(F.min("file_ord").alias("at"))
+    return sorted(r["at"] for r in ranges.collect())[1:]
+
+
+def corpus_sha256(files: DataFrame, sizes: DataFrame | None = None, most: int | None = None) -> str:
+    """SHA-256 of all contents one after another, in order, with nothing between. The state of the hash goes from
+    content to content, so contents are read one after the other, but not by one task: each range of the order, of about
+    ``most`` bytes (DIGEST_BYTES), is a task of its own, which goes on with the state that the one before it ended with.
+    ``sizes`` (file_ord, size) spare a reading of the contents for their lengths."""
     import pyarrow as pa
+    from pyspark import TaskContext
+
+    spark = files.sparkSession
+    bounds = digest_bounds(files.select("file_ord", "size") if sizes is None else sizes, most or DIGEST_BYTES) if _libcrypto() else []
+    ranged = files.select(_range_of(F.col("file_ord"), bounds).alias("range"), "file_ord", "path", "content")
+    ordered = ranged.repartitionById(len(bounds) + 1, F.col("range")) if bounds else ranged.repartition(1)
+    ordered = ordered.sortWithinPartitions(F.col("file_ord").asc_nulls_last(), "path").select("content")
+    if not bounds:
+        return ordered.mapInArrow(_digest, "sha256 string").first()[0]
 
     def run(batches):
-        h = hashlib.sha256()
+        h = Sha256(bytes.fromhex(TaskContext.get().getLocalProperty(STATE) or ""))
         for batch in batches:
             for body in batch.column(0):
                 h.update(body.as_py())
-        yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["sha256"])
+        yield pa.RecordBatch.from_arrays([pa.array([h.state()], pa.binary())], ["state"])
+
+    sc, tasks, state = spark.sparkContext, ordered.mapInArrow(run, "state binary").rdd, b""
+    try:
+        for i in range(len(bounds) + 1):
+            sc.setLocalProperty(STATE, state.hex())
+            state = bytes(sc.runJob(tasks, list, [i])[0]["state"])
+    finally:
+        sc.setLocalProperty(STATE, None)
+    return Sha256(state).digest().hex()
+
+
+def _digest(batches):
+    """The digest of all that one task reads."""
+    import hashlib
+
+    import pyarrow as pa
 
-    ordered = files.select("file_ord", "path", "content").repartition(1).sortWithinPartitions("file_ord", "path").select("content")
-    return ordered.mapInArrow(run, "sha256 string").first()[0]
+    h = hashlib.sha256()
+    for batch in batches:
+        for body in batch.column(0):
+            h.update(body.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([h.hexdigest()])], ["sha256"])
 
 
 class Versions:

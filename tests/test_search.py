@@ -11,6 +11,7 @@ from needlebed.errors import EmptyCorpusError, IndexFormatError
 from needlebed.functions import bytesfn as bf
 from needlebed.functions import sizes
 from needlebed.operators import bwt, grams, search, segments
+from needlebed.plans import manifest
 from needlebed.plans.index import BuildOptions, Reloadable, build, build_from, open_index
 from needlebed.plans.manifest import Versions, corpus_sha256, read_manifest
 from needlebed.sources.tables import collect_files, from_table, lines_of, list_files, read_batch, read_files, split_lines
@@ -307,6 +308,24 @@ def test_corpus_digest_has_no_separators(spark):
     assert corpus_sha256(corpus(spark, bodies)) == hashlib.sha256(b"".join(bodies)).hexdigest()
 
 
+def test_corpus_digest_goes_from_task_to_task(spark, monkeypatch):
+    import hashlib
+
+    rnd = random.Random(3)
+    bodies = [rnd.randbytes(rnd.choice([0, 1, 63, 64, 900, 7000])) for _ in range(80)] + [b""]
+    want, files = hashlib.sha256(b"".join(bodies)).hexdigest(), corpus(spark, bodies).repartition(5)
+    monkeypatch.setattr(manifest, "DIGEST_BYTES", 4000)
+    bounds = manifest.digest_bounds(files, 4000)
+    parts = [b"".join(bodies[a:b]) for a, b in zip([0, *bounds], [*bounds, len(bodies)])]
+    assert len(parts) > 10 and max(map(len, parts)) <= 4000 + 7000
+    assert corpus_sha256(files) == want == manifest.corpus_sha256(files, files.select("file_ord", "size"))
+    read = []
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda sc, rdd, f, parts, *a, run=type(spark.sparkContext).runJob: read.append(parts) or run(sc, rdd, f, parts, *a))
+    assert corpus_sha256(files) == want and read == [[i] for i in range(len(parts))]
+    monkeypatch.setattr(manifest, "_libcrypto", lambda: None)  # no open state: one task
+    assert corpus_sha256(files) == want
+
+
 def test_table_source_skips_nulls(spark):
     df = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "id bigint, t string")
     assert [(r["file_ord"], r["size"]) for r in from_table(df, "id", "t").orderBy("file_ord").collect()] == [(1, 2), (3, 0)]
