@@ -11,7 +11,7 @@ from needlebed.errors import EmptyCorpusError, IndexFormatError
 from needlebed.functions import bytesfn as bf
 from needlebed.functions import sizes
 from needlebed.operators import bwt, grams, search, segments
-from needlebed.plans import manifest
+from needlebed.plans import manifest, queries
 from needlebed.plans.index import BuildOptions, Reloadable, build, build_from, open_index
 from needlebed.plans.manifest import Versions, corpus_sha256, read_manifest
 from needlebed.sources.tables import collect_files, from_table, lines_of, list_files, read_batch, read_files, split_lines
@@ -326,6 +326,19 @@ def test_corpus_digest_goes_from_task_to_task(spark, monkeypatch):
     assert corpus_sha256(files) == want
 
 
+def test_metadata_of_a_corpus_of_several_ranges(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    texts = {i: None if i % 9 == 4 else "é word " * (i % 7) for i in range(60)}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(manifest, "DIGEST_BYTES", 200)
+    read = []
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda sc, rdd, f, parts, *a, run=type(spark.sparkContext).runJob: read.append(parts) or run(sc, rdd, f, parts, *a))
+    every = [t.encode() for t in texts.values() if t is not None]
+    assert [tuple(r) for r in queries.build_metadata(spark, str(tmp_path)).collect()] == [(len(every), sum(map(len, every)), hashlib.sha256(b"".join(every)).hexdigest())]
+    assert len(read) > 3
+
+
 def test_table_source_skips_nulls(spark):
     df = spark.createDataFrame([(1, "é"), (2, None), (3, "")], "id bigint, t string")
     assert [(r["file_ord"], r["size"]) for r in from_table(df, "id", "t").orderBy("file_ord").collect()] == [(1, 2), (3, 0)]
