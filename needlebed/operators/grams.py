@@ -6,18 +6,23 @@ shard that holds the needle.
 
 from __future__ import annotations
 
+import hashlib
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from needlebed.functions.bytesfn import _A0, _C48, _FNV, _G, BLOOM_BITS, as_bytes
-from needlebed.operators.search import batch_contains, distinct_needles
+from needlebed.operators.search import batch_contains, distinct_needles, in_passes
 from needlebed.shared import by_key, shared_dir
 
-TRIGRAM, NGRAM = 3, 8
+TRIGRAM, NGRAM, BLOCK = 3, 8, 1 << 15
 #: Bits of a filter that are packed together; bits of a needle that are enough; ids that are pushed down, and broadcast.
 GROUP, PROBE, PUSHED, BROADCAST_IDS = 1 << 21, 24, 1000, 1 << 20
+#: Values of a needle that are looked up before all of them are; values that a task holds, those that repeat with them.
+FIRST, HELD = 8, 1 << 21
 
 
 def trigram_keys(body: bytes) -> np.ndarray:
@@ -26,18 +31,45 @@ def trigram_keys(body: bytes) -> np.ndarray:
     return (x[:-2] << 16) | (x[1:-1] << 8) | x[2:] if len(x) >= TRIGRAM else np.empty(0, np.int64)
 
 
-def bloom_pairs(body: bytes) -> np.ndarray:
-    """Both Bloom bits of every 8-gram of some bytes: shape (windows, 2)."""
-    x = np.frombuffer(body, np.uint8).astype(np.int64)
+def bloom_values(body: bytes) -> np.ndarray:
+    """Both Bloom bits of every 8-gram of some bytes, the first of all and then the second of all. Masks are left to the
+    end, since what is masked never comes down to the low 25 bits in eight steps, and blocks stay in a core's cache."""
+    x = np.frombuffer(body, np.uint8)
     m = len(x) - NGRAM + 1
     if m < 1:
-        return np.empty((0, 2), np.int64)
-    a, c = np.full(m, _A0, np.int64), np.full(m, _G, np.int64)
-    for i in range(NGRAM):
-        v = x[i : i + m]
-        a = ((a ^ v) * _FNV) & (BLOOM_BITS - 1)
-        c = (c ^ (v + _G + (c << 6) + (c >> 2))) & _C48
-    return np.stack([a, (a + (c | 1)) & (BLOOM_BITS - 1)], 1)
+        return np.empty(0, np.uint32)
+    out, size = np.empty((2, m), np.uint32), min(m, BLOCK)
+    c_, t_, u_ = (np.empty(size, np.uint64) for _ in range(3))
+    for at in range(0, m, BLOCK):
+        n = min(BLOCK, m - at)
+        here, a, c, t, u = x[at : at + n + NGRAM - 1].astype(np.uint32), out[0, at : at + n], c_[:n], t_[:n], u_[:n]
+        add = here.astype(np.uint64)
+        add += np.uint64(_G)
+        a[:], c[:] = _A0, _G
+        for i in range(NGRAM):
+            a ^= here[i : i + n]
+            a *= np.uint32(_FNV)
+            np.left_shift(c, np.uint64(6), out=t)
+            np.right_shift(c, np.uint64(2), out=u)
+            t += u
+            t += add[i : i + n]
+            c ^= t
+        c |= np.uint64(1)
+        c += a
+        out[1, at : at + n] = c & np.uint64(BLOOM_BITS - 1)
+        a &= np.uint32(BLOOM_BITS - 1)
+    return out.ravel()
+
+
+def bloom_pairs(body: bytes) -> np.ndarray:
+    """Both Bloom bits of every 8-gram of some bytes: shape (windows, 2)."""
+    return bloom_values(body).reshape(2, -1).T.astype(np.int64)
+
+
+def distinct(v: np.ndarray) -> np.ndarray:
+    """Numbers in order, each once."""
+    v = np.sort(v)
+    return v[np.r_[True, v[1:] != v[:-1]]] if len(v) else v
 
 
 def _distinct_by(df: DataFrame, key: str, content: str, what, rows, schema: str) -> DataFrame:
@@ -46,18 +78,20 @@ def _distinct_by(df: DataFrame, key: str, content: str, what, rows, schema: str)
 
     def run(batches):
         held: list[np.ndarray] = []
-        at = None
+        at, n, most = None, 0, HELD
         for batch in batches:
             for k, body in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k != at:
                     if held:
-                        yield rows(at, np.unique(np.concatenate(held)))
-                    at, held = k, []
-                held.append(np.unique(what(body.as_py())))
-                if len(held) > 64:
-                    held = [np.unique(np.concatenate(held))]
+                        yield rows(at, distinct(np.concatenate(held)).astype(np.int64))
+                    at, held, n, most = k, [], 0, HELD
+                held.append(what(body.as_py()))
+                n += len(held[-1])
+                if n > most:
+                    held = [distinct(np.concatenate(held))]
+                    n, most = len(held[0]), max(HELD, 2 * len(held[0]))
         if held:
-            yield rows(at, np.unique(np.concatenate(held)))
+            yield rows(at, distinct(np.concatenate(held)).astype(np.int64))
 
     some = df.select(F.col(key).cast("bigint").alias(key), as_bytes(F.col(content)).alias("__body")).where(F.col(key).isNotNull() & F.col("__body").isNotNull())
     return by_key(some, key).sortWithinPartitions(key).mapInArrow(run, schema)
@@ -95,16 +129,21 @@ def has(data: bytes, wanted: np.ndarray) -> np.ndarray:
     return (np.frombuffer(data, np.uint8)[wanted >> 3] >> (7 - (wanted & 7))) & 1 > 0
 
 
+def _packed(v: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """(first, how many, packed) of each group that some sorted bits are in."""
+    ends = np.searchsorted(v, np.arange(0, BLOOM_BITS + GROUP, GROUP))
+    return [(g * GROUP, int(b - a), pack(v[a:b] - g * GROUP)) for g, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+
+
 def ngram_filter(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
     """(shard_id, bit, n_bits, bits): the Bloom bits that the 8-grams of each shard set, packed by groups of GROUP bits;
     ``bit`` is a group's first."""
 
     def rows(at, v):
-        first = np.unique(v // GROUP)
-        parts = [v[slice(*np.searchsorted(v, (g * GROUP, (g + 1) * GROUP)))] - g * GROUP for g in first]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(first), at, np.int64)), pa.array(first * GROUP), pa.array([len(x) for x in parts], pa.int64()), pa.array([pack(x) for x in parts], pa.binary())], [key, "bit", "n_bits", "bits"])
+        sets = _packed(v)
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(sets), at, np.int64)), *(pa.array([x[i] for x in sets], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.binary())))], [key, "bit", "n_bits", "bits"])
 
-    return _distinct_by(segments, key, content, lambda b: bloom_pairs(b).ravel(), rows, f"{key} bigint, bit bigint, n_bits bigint, bits binary")
+    return _distinct_by(segments, key, content, bloom_values, rows, f"{key} bigint, bit bigint, n_bits bigint, bits binary")
 
 
 def unpacked(filters: DataFrame) -> DataFrame:
@@ -121,7 +160,7 @@ def unpacked(filters: DataFrame) -> DataFrame:
 
 def ngram_filter_bits(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
     """(shard_id, bit): the Bloom bits that the 8-grams of each shard set, each once."""
-    return _distinct_by(segments, key, content, lambda b: bloom_pairs(b).ravel(), _pairs_of(key, "bit"), f"{key} bigint, bit bigint")
+    return _distinct_by(segments, key, content, bloom_values, _pairs_of(key, "bit"), f"{key} bigint, bit bigint")
 
 
 def wanted_bits(needles: list[bytes], least: int = PROBE) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -130,7 +169,7 @@ def wanted_bits(needles: list[bytes], least: int = PROBE) -> dict[int, tuple[np.
     of the bits is a weaker filter, but never loses a shard."""
     by_group: dict[int, list] = {}
     for i, needle in enumerate(needles):
-        v = np.unique(bloom_pairs(needle))
+        v = distinct(bloom_values(needle)).astype(np.int64)
         groups, first, n = np.unique(v // GROUP, return_index=True, return_counts=True)
         order = np.argsort(-n, kind="stable")
         some = order[: int(np.searchsorted(np.cumsum(n[order]), least)) + 1]
@@ -164,6 +203,76 @@ def filter_shards(filters: DataFrame, needles: list[bytes]) -> DataFrame:
     return had.groupBy("shard_id", "number", "need").agg(F.count("*").alias("had")).where("had = need").select("shard_id")
 
 
+def bit_totals(segments: DataFrame, key: str = "shard_id", content: str = "content") -> DataFrame:
+    """(shard_id, n_bits_set, bit_sum): how many bits ``ngram_filter`` packs for each shard, and their sum. Each bit is
+    packed, unpacked and counted in the task that finds it; one row of a shard goes on."""
+
+    def rows(at, v):
+        sets = [unpack(data) + first for first, _, data in _packed(v)]
+        return pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([sum(map(len, sets))], pa.int64()), pa.array([sum(int(x.sum()) for x in sets)], pa.int64())], [key, "n_bits_set", "bit_sum"])
+
+    return _distinct_by(segments, key, content, bloom_values, rows, f"{key} bigint, n_bits_set bigint, bit_sum bigint").where("n_bits_set > 0")
+
+
+def _which(some: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Which of the numbers asked for are among some; both are in order and distinct, the fewer are looked up."""
+    if not len(some) or not len(asked):
+        return np.zeros(len(asked), bool)
+    if len(asked) <= len(some):
+        return some[np.minimum(np.searchsorted(some, asked), len(some) - 1)] == asked
+    at, out = np.minimum(np.searchsorted(asked, some), len(asked) - 1), np.zeros(len(asked), bool)
+    out[at[asked[at] == some]] = True
+    return out
+
+
+class Wanted:
+    """The values of some needles: a few of each, from all over it, and all of them, unless ``least`` are enough."""
+
+    def __init__(self, needles: list[bytes], what, least: int | None = None):
+        sets = [distinct(what(n)).astype(np.int64) for n in needles]
+        width = min(least or FIRST, max(map(len, sets)))
+        few = np.array([v[np.arange(width) * len(v) // width] for v in sets])
+        self.few, self.places = np.unique(few, return_inverse=True)
+        self.places, self.every = self.places.reshape(few.shape), sets if least is None else None
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """The numbers of the needles whose values are all among some."""
+        hit = np.flatnonzero(_which(values, self.few)[self.places].all(1))
+        return hit if self.every is None else np.array([i for i in hit if _which(values, self.every[i]).all()], np.int64)
+
+
+def probe(segments: DataFrame, needles: list[bytes], what, least: int | None = None, key: str = "shard_id", content: str = "content") -> DataFrame:
+    """(nid, shard_id): the shards that have all values of one of some needles, or ``least`` of them, which is a weaker
+    filter but never loses a shard; a needle has one value at least. The needles go to the tasks, which look them up in
+    the values of a shard, so that no rows are made of these."""
+    shared = segments.sparkSession.sparkContext.broadcast((Wanted(needles, what, least), [hashlib.md5(n).digest() for n in needles]))
+
+    def rows(at, v):
+        wanted, nids = shared.value
+        hit = wanted.among(v)
+        return pa.RecordBatch.from_arrays([pa.array([nids[i] for i in hit], pa.binary()), pa.array(np.full(len(hit), at, np.int64))], ["nid", key])
+
+    return _distinct_by(segments, key, content, what, rows, f"nid binary, {key} bigint")
+
+
+def _probed(segments: DataFrame, queries: DataFrame, key: str, needle: str, what, least: int) -> DataFrame:
+    """(key, shard_id) as ``_divided`` gives it, of segments; needles of fewer than ``least`` bytes have no values."""
+    asked = distinct_needles(queries, needle).where(F.octet_length("__needle") >= least)
+    had = [probe(segments, some, what) for some in in_passes(asked) if some]
+    rows = queries.select(F.col(key), _needle_id(as_bytes(F.col(needle))).alias("nid"))
+    return rows.join(reduce(DataFrame.unionAll, had), "nid").select(key, "shard_id") if had else rows.select(key, F.lit(0).cast("bigint").alias("shard_id")).where("false")
+
+
+def ngram_shards(segments: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
+    """``ngram_candidates`` of segments whose filter isn't stored, for each row of ``queries``."""
+    return _probed(segments, queries, key, needle, bloom_values, NGRAM)
+
+
+def trigram_shards(segments: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
+    """``trigram_candidates`` of segments whose index isn't stored, for each row of ``queries``."""
+    return _probed(segments, queries, key, needle, trigram_keys, TRIGRAM)
+
+
 def _needle_id(c):
     return F.unhex(F.md5(c))
 
@@ -176,7 +285,7 @@ def _divided(index: DataFrame, value: str, queries: DataFrame, key: str, needle:
     def run(batches):
         for batch in batches:
             for nid, body in zip(batch.column(0).to_pylist(), batch.column(1)):
-                v = np.unique(what(body.as_py()))
+                v = distinct(what(body.as_py())).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([nid] * len(v), pa.binary()), pa.array(v), pa.array(np.full(len(v), len(v)))], ["nid", value, "wanted"])
 
     wanted = distinct_needles(queries, needle).select(_needle_id("__needle").alias("nid"), "__needle").mapInArrow(run, f"nid binary, {value} bigint, wanted bigint")
@@ -191,7 +300,7 @@ def trigram_candidates(index: DataFrame, queries: DataFrame, key: str = "line_no
 
 def ngram_candidates(index: DataFrame, queries: DataFrame, key: str = "line_no", needle: str = "needle") -> DataFrame:
     """(key, shard_id): shards whose filter has both bits of every 8-gram of the needle."""
-    return _divided(index, "bit", queries, key, needle, lambda b: bloom_pairs(b).ravel())
+    return _divided(index, "bit", queries, key, needle, bloom_values)
 
 
 def route(needle):

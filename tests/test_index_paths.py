@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from needlebed.errors import IndexFormatError
+from needlebed.functions import bytesfn as bf
 from needlebed.operators import bwt, grams, search
 from needlebed.plans import index as ix
 from needlebed.plans.index import BuildOptions, build, build_from, open_index
@@ -183,3 +184,55 @@ def test_single_index_whatever_the_size(spark, tmp_path):
     assert m.shard_count == 1 and index.max_query_bytes() == 0 and index.contains_bytes(b"abc" * 100) and not index.contains_bytes(b"cde")
     asked = spark.createDataFrame([(1, bytearray(b"def" * 300)), (2, bytearray(b"cdef"))], "line_no bigint, needle binary")
     assert {r[0]: r[1] for r in index.batch_backward(asked).collect()} == {1: True, 2: False}
+
+
+def test_bits_at_once_are_those_byte_by_byte():
+    rnd = np.random.default_rng(4)
+    for n in (0, 7, 8, 9, 1000, grams.BLOCK + 6, grams.BLOCK + 7, grams.BLOCK + 8, 3 * grams.BLOCK):
+        body = rnd.integers(0, 256, n, dtype=np.uint8)
+        got = grams.bloom_values(body.tobytes())
+        assert got.dtype == np.uint32 and len(got) == 2 * max(0, n - 7)
+        for i in (0, len(got) // 4, len(got) // 2 - 1) if len(got) else ():
+            a, c = bf._A0, bf._G
+            for v in body[i : i + 8].tolist():
+                a, c = ((a ^ v) * bf._FNV) % bf.BLOOM_BITS, (c ^ (v + bf._G + (c << 6) + (c >> 2))) & bf._C48
+            assert (int(got[i]), int(got[len(got) // 2 + i])) == (a, (a + (c | 1)) % bf.BLOOM_BITS)
+
+
+def test_totals_of_bits_make_no_row_of_a_bit(spark, built, texts, monkeypatch):
+    segs = built.segments().unionByName(spark.createDataFrame([(900, bytearray(b"short"))], "shard_id bigint, content binary"), allowMissingColumns=True)
+    monkeypatch.setattr(grams, "HELD", 300)
+    got = grams.bit_totals(segs)
+    want = grams.unpacked(grams.ngram_filter(segs)).groupBy("shard_id").agg(F.count("*"), F.sum("bit"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 5
+    plan = grams.bit_totals(segs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_distinct_numbers():
+    v = np.array([5, 1, 5, 3, 1], np.uint32)
+    assert grams.distinct(v).tolist() == [1, 3, 5] and grams.distinct(v[:0]).tolist() == []
+
+
+@pytest.mark.parametrize("most", [None, 40])
+def test_probed_shards_are_those_of_the_rows(spark, built, texts, monkeypatch, most):
+    rnd = random.Random(8)
+    long = [t.encode() for t in texts if len(t) > 500]
+    asked = [t[i : i + n] for n in (1, 2, 3, 5, 7, 8, 9, 30, 60) for t in rnd.sample(long, 3) for i in (rnd.randrange(400),)]
+    asked += [asked[-1][:20] + b"#" + asked[-1][:20], b"", None, asked[-1], b"absent!!!!!"]
+    df = spark.createDataFrame([(None if i == 2 else f"k{i % 11}", None if n is None else bytearray(n)) for i, n in enumerate(asked)], "k string, needle binary")
+    segs = built.segments()
+    if most:
+        monkeypatch.setattr(search, "NEEDLE_BYTES", most)  # several passes
+    for now, rows in ((grams.ngram_shards(segs, df, "k"), grams.ngram_candidates(grams.ngram_filter_bits(segs), df, "k")), (grams.trigram_shards(segs, df, "k"), grams.trigram_candidates(grams.trigram_index(segs), df, "k"))):
+        got = sorted(map(repr, now.collect()))
+        assert got == sorted(map(repr, rows.collect())) and len(got) > 10
+    none = df.where("needle IS NULL")
+    assert grams.ngram_shards(segs, none, "k").collect() == [] and grams.ngram_shards(segs, none, "k").columns == ["k", "shard_id"]
+
+
+def test_which_looks_up_the_fewer():
+    rnd = np.random.default_rng(5)
+    for n, m in ((0, 5), (5, 0), (3, 90), (90, 3), (50, 50)):
+        some, asked = (np.sort(rnd.choice(100, k, replace=False)) for k in (n, m))
+        assert np.array_equal(grams._which(some, asked), np.isin(asked, some))
