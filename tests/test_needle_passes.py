@@ -34,7 +34,7 @@ def test_needles_shorter_than_a_gram_and_longer_than_the_overlap(spark, tmp_path
         assert {r["item_id"]: r["found"] for r in query(spark, str(tmp_path)).collect()} == want
 
 
-@pytest.mark.parametrize("query", [queries.raw_verify])
+@pytest.mark.parametrize("query", [queries.raw_verify, queries.sharded_contains])
 def test_routes_store_no_filter_for_one_search(spark, tmp_path, monkeypatch, query):
     rnd = random.Random(6)
     text = "".join(rnd.choices("abcdefgh", k=90_000))
