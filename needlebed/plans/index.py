@@ -19,8 +19,8 @@ from needlebed.plans.manifest import Manifest, Versions, corpus_sha256, read_man
 from needlebed.shared import by_key
 from needlebed.sources.tables import collect_files, read_files
 
-#: Shards and files, at most, that the manifest names.
-LISTED = 10_000
+#: Shards and files, at most, that the manifest names; bytes of a shard, about, that one task writes.
+LISTED, PIECE = 10_000, 16 << 20
 
 
 @dataclass
@@ -109,7 +109,7 @@ def build_from(files: DataFrame, out: str, options: BuildOptions | None = None,
     held, n_shards = planned.agg(F.sum("length"), F.max("shard_id") + 1).first()
     cut = segments.segment_scan(files, shard_size=opt.shard_size, max_query=opt.max_query_bytes).drop("path")
     placed = cut.join(planned.select("file_ord", "seg_ord", "shard_id"), ["file_ord", "seg_ord"])
-    _watched(spark, tell, Progress("segments", "writing segments", 0, n_shards, 0, held, path), lambda: by_key(placed, "shard_id").sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments"))
+    _watched(spark, tell, Progress("segments", "writing segments", 0, n_shards, 0, held, path), lambda: by_key(placed, "shard_id", *_pieces(opt.shard_size)).sortWithinPartitions("shard_id", "file_ord", "seg_ord").write.parquet(f"{out}/segments"))
     stored = spark.read.parquet(f"{out}/segments")
     _check_bytes(planned, stored)
     if n_shards > 1:
@@ -136,6 +136,12 @@ def build_from(files: DataFrame, out: str, options: BuildOptions | None = None,
     return m
 
 
+def _pieces(shard_size: int) -> list:
+    """What parts the segments of a shard that is larger than a task should write, by their hash; nothing for others."""
+    n = -(-shard_size // PIECE)
+    return [F.pmod(F.xxhash64("file_ord", "seg_ord"), F.lit(n))] if n > 1 else []
+
+
 def _check_bytes(planned: DataFrame, stored: DataFrame) -> None:
     """The bytes of each shard are those that were planned."""
     want, got = (df.groupBy("shard_id").agg(F.sum("length").alias(name), F.count("*").alias("n_" + name)) for df, name in ((planned, "want"), (stored, "got")))

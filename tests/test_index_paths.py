@@ -186,6 +186,24 @@ def test_single_index_whatever_the_size(spark, tmp_path):
     assert {r[0]: r[1] for r in index.batch_backward(asked).collect()} == {1: True, 2: False}
 
 
+def test_single_shard_is_written_by_many_tasks(spark, texts, tmp_path, monkeypatch):
+    monkeypatch.setattr(ix, "PIECE", 500, raising=False)
+    out = f"file://{tmp_path}/single"
+    m = build_from(corpus(spark, [t.encode() for t in texts]), out, BuildOptions(max_query_bytes=60, single=True, digest=False))
+    index = open_index(spark, out)
+    sizes = [r[1] for r in index.segments().groupBy(F.input_file_name()).agg(F.sum("length")).collect()]
+    assert m.shard_count == 1 and len(sizes) > 2 and sum(sizes) == sum(map(len, texts)) == m.total_bytes
+    assert [tuple(r) for r in index.shards().collect()] == [(0, len(texts), m.total_bytes)]
+    long = max(texts, key=len).encode()
+    asked = [long, long + b"!", texts[-1].encode() + texts[0].encode()]
+    asked = [n for n in asked if n]
+    want = [any(n in t.encode() for t in texts) for n in asked]
+    assert [index.contains_bytes(n) for n in asked] == want
+    df = spark.createDataFrame([(i, bytearray(n)) for i, n in enumerate(asked)], "line_no bigint, needle binary")
+    for way in (index.batch, index.batch_pruned, index.batch_backward):
+        assert [r["found"] for r in way(df).orderBy("line_no").collect()] == want
+
+
 def test_bits_at_once_are_those_byte_by_byte():
     rnd = np.random.default_rng(4)
     for n in (0, 7, 8, 9, 1000, grams.BLOCK + 6, grams.BLOCK + 7, grams.BLOCK + 8, 3 * grams.BLOCK):
