@@ -254,3 +254,15 @@ def test_which_looks_up_the_fewer():
     for n, m in ((0, 5), (5, 0), (3, 90), (90, 3), (50, 50)):
         some, asked = (np.sort(rnd.choice(100, k, replace=False)) for k in (n, m))
         assert np.array_equal(grams._which(some, asked), np.isin(asked, some))
+
+
+def test_index_has_the_digest_of_several_ranges(spark, texts, tmp_path, monkeypatch):
+    import hashlib
+
+    from needlebed.plans import manifest
+
+    monkeypatch.setattr(manifest, "DIGEST_BYTES", 1000)
+    read = []
+    monkeypatch.setattr(type(spark.sparkContext), "runJob", lambda sc, rdd, f, parts, *a, run=type(spark.sparkContext).runJob: read.append(parts) or run(sc, rdd, f, parts, *a))
+    m = build_from(corpus(spark, [t.encode() for t in texts]), f"file://{tmp_path}/index", BuildOptions(shard_size=600, max_query_bytes=60, with_bwt=False))
+    assert m.sha256 == hashlib.sha256("".join(texts).encode()).hexdigest() and len(read) > 3
